@@ -8,7 +8,8 @@ from pyspark.sql import types as T
 
 from orderglass.functions.text import as_text, trimmed
 
-NUMBER_PATTERN = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
+# At most 200 digits and a two-digit exponent: such a text can never overflow into infinity.
+NUMBER_PATTERN = r"^[+-]?([0-9]{1,200}\.?[0-9]{0,200}|\.[0-9]{1,200})([eE][+-]?[0-9]{1,2})?$"
 MONEY = T.DecimalType(38, 6)
 
 
@@ -22,10 +23,12 @@ def strict_number(column: Column, data_type: T.DataType | None = None) -> Column
 
     The pattern keeps out texts a JVM cast would accept and a CSV reader would not (``1d``, ``NaN``).
     """
-    if isinstance(data_type, T.NumericType):
+    if isinstance(data_type, T.FractionalType) and not isinstance(data_type, T.DecimalType):
         return finite(column.cast("double"))
-    text = trimmed(column)
-    return finite(F.when(text.rlike(NUMBER_PATTERN), text.try_cast("double")))
+    if isinstance(data_type, T.NumericType):
+        return column.cast("double")
+    # No match extracts a blank, which casts to null: the text appears once in the expression.
+    return F.regexp_extract(trimmed(column), NUMBER_PATTERN, 0).try_cast("double")
 
 
 def lenient_number(column: Column, data_type: T.DataType | None = None, percentage: bool = False) -> Column:
@@ -36,12 +39,11 @@ def lenient_number(column: Column, data_type: T.DataType | None = None, percenta
     if isinstance(data_type, T.NumericType):
         return strict_number(column, data_type)
     text = trimmed(column)
-    in_parentheses = text.rlike(r"^\(.*\)$")
-    digits = F.regexp_replace(text, r"[^0-9+\-.]", "")
-    value = F.coalesce(strict_number(column), strict_number(digits))
-    value = F.when(in_parentheses, -F.abs(value)).otherwise(value)
+    signed = F.regexp_replace(text, r"^\([^0-9+\-.]*[+-]?(.*)\)$", "-$1")
+    digits = F.regexp_replace(signed, r"[^0-9+\-.]", "")
+    value = strict_number(F.when(text.rlike(NUMBER_PATTERN), text).otherwise(digits))
     if percentage:
-        value = F.when(F.contains(text, F.lit("%")), value / 100.0).otherwise(value)
+        value = value / F.when(F.contains(text, F.lit("%")), 100.0).otherwise(1.0)
     return value
 
 

@@ -12,10 +12,10 @@ MISSING_TEXTS = (
 )
 
 # Every character Unicode calls white space.
-WHITE_SPACE = (
-    " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0           "
-    "     　"
-)
+WHITE_SPACE = "".join(map(chr, (
+    *range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F,
+    0x205F, 0x3000,
+)))
 
 
 def quoted(name: str) -> Column:

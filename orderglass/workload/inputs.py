@@ -156,3 +156,75 @@ def plain(df: DataFrame) -> DataFrame:
             return F.date_format(source, "yyyy-MM-dd HH:mm:ss").alias(field.name)
         return source
     return df.select(*map(column, df.schema.fields))
+
+
+# The benchmark columns under the names a sales database would use; names carry meaning for discovery.
+BUSINESS_NAMES = {
+    "lineitem": {
+        "l_orderkey": "Order Key", "l_partkey": "Product Key", "l_suppkey": "Supplier ID",
+        "l_linenumber": "Line Number", "l_quantity": "Quantity", "l_extendedprice": "Line Amount",
+        "l_discount": "Discount Rate", "l_tax": "Tax", "l_returnflag": "Return Flag",
+        "l_linestatus": "Line Status", "l_shipdate": "Ship Date",
+    },
+    "orders": {
+        "o_orderkey": "Order Key", "o_custkey": "Customer Key", "o_orderstatus": "Order Status",
+        "o_totalprice": "Order Total", "o_orderdate": "Order Date", "o_orderpriority": "Priority",
+    },
+    "customer": {
+        "c_custkey": "Customer Key", "c_name": "Customer Name", "c_nationkey": "Country Code",
+        "c_acctbal": "Balance", "c_mktsegment": "Segment",
+    },
+    "part": {
+        "p_partkey": "Product Key", "p_name": "Product Name", "p_brand": "Product Category", "p_type": "Type",
+        "p_size": "Size", "p_retailprice": "Unit Price",
+    },
+    "supplier": {
+        "s_suppkey": "Supplier ID", "s_name": "Supplier Name", "s_nationkey": "Country Code",
+        "s_acctbal": "Balance",
+    },
+    "nation": {"n_nationkey": "Country Code", "n_name": "Country Name", "n_regionkey": "Region Code"},
+    "region": {"r_regionkey": "Region Code", "r_name": "Region Name"},
+}
+
+
+def business_tables(spark: SparkSession, folder: str, names: tuple[str, ...] = ()) -> dict[str, DataFrame]:
+    return {
+        name: table(spark, folder, name).withColumnsRenamed(BUSINESS_NAMES[name])
+        for name in (names or tuple(BUSINESS_NAMES))
+    }
+
+
+def messy_source_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """A joined source table in text form, as it would come out of an office tool: units, currency, percent."""
+    rows = order_rows(spark, folder, customer=True, store=True, numbered=True)
+    order, product = F.col("order_id"), F.col("product_id")
+    price, quantity = F.col("unit_price"), F.col("quantity").cast("bigint").cast("string")
+    percent = F.round(F.col("discount_rate") * 100).cast("bigint").cast("string")
+    return rows.select(
+        "source_row_number",
+        order.cast("string").alias("Order Number"),
+        F.when(order % 101 == 0, "soon")
+        .when(order % 4 == 0, F.date_format("date", "yyyy/MM/dd"))
+        .when(order % 4 == 1, F.date_format("date", "MMM d yyyy"))
+        .when(order % 4 == 2, F.date_format("date", "MM/dd/yyyy"))
+        .otherwise(F.date_format("date", "yyyy-MM-dd")).alias("Order Date"),
+        F.when(product % 37 != 0, F.col("customer_id").cast("string")).otherwise("  ").alias("Customer Key"),
+        F.col("customer_name").alias("Customer Name"),
+        F.concat(F.lit(" P-"), product.cast("string"), F.lit(" ")).alias("Product Key"),
+        F.col("product_name").alias("Product Name"),
+        F.col("category").alias("Product Category"),
+        F.when(product % 211 == 0, "ask")
+        .when(product % 223 == 0, F.concat(F.lit("("), price.cast("string"), F.lit(")")))
+        .when(product % 3 == 0, F.concat(F.lit("$"), F.format_number(price, 2)))
+        .when(product % 3 == 1, F.concat(F.lit("EUR "), price.cast("string")))
+        .otherwise(price.cast("string")).alias("Unit Price"),
+        F.when(order % 103 == 0, "0").when(order % 2 == 0, F.concat(quantity, F.lit(" units")))
+        .otherwise(quantity).alias("Quantity"),
+        F.when(order % 2 == 0, F.concat(percent, F.lit("%"))).otherwise(
+            F.col("discount_rate").cast("string")
+        ).alias("Discount Rate"),
+        F.when(F.col("returned"), F.when(order % 2 == 0, "退货").otherwise("Yes"))
+        .when(product % 5 == 0, " ").when(product % 5 == 1, "未退货").otherwise("no").alias("Returned"),
+        F.when(F.col("store_id") % 10 != 0, F.col("store_id").cast("string")).alias("Store Key"),
+        F.col("store_name").alias("Store Name"),
+    )

@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orderglass.workload import oracles, reports
+from orderglass.workload import oracles, preparation, reports
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {**reports.QUERIES}
+    return {**reports.QUERIES, **preparation.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
