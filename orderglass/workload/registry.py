@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orderglass.workload import oracles, preparation, reports
+from orderglass.workload import oracles, preparation, preparation_oracles, reports
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,4 +14,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(oracles.TWINS)
+    return {**oracles.TWINS, **preparation_oracles.TWINS}
