@@ -9,7 +9,9 @@ from pyspark.sql import types as T
 from orderglass.functions.text import trimmed
 
 _CLOCK = r"[T ]+(\d{1,2})(:\d{2}(?::\d{2}(?:\.\d{1,9})?)?) ?([AaPp][Mm])?(?:Z|[+-]\d{2}:?\d{2})?$"
-_NAMED = r"^\d{0,2}(?:st|nd|rd|th)?[ -]?[A-Za-z]{3,9}\.?[ -]\d"
+_NAME_FIRST = r"^([A-Za-z]{3})[A-Za-z]*\.?[ -](\d{1,2})(?:st|nd|rd|th)?,?[ -]+(\d{4})$"
+_DAY_FIRST = r"^(\d{1,2})(?:st|nd|rd|th)?[ -]([A-Za-z]{3})[A-Za-z]*\.?,?[ -](\d{2}|\d{4})$"
+_MONTHS = "janfebmaraprmayjunjulaugsepoctnovdec"
 
 # Rewrites to year-month-day, tried in order; a text no pattern fits stays as it is and fails the cast.
 _YEAR_FIRST = (
@@ -39,13 +41,13 @@ def _rewritten(text: Column, rules) -> Column:
 
 def _named_month(text: Column) -> Column:
     """``Jan 3, 2024``, ``3 January 2024`` or ``3-Jan-24`` as year-month-day."""
-    text = _rewritten(text, (
-        (r"^([A-Za-z]{3,9})\.?[ -](\d{1,2})(?:st|nd|rd|th)?,?[ -]+(\d{4})$", "$2-$1-$3"),
-        (r"^(\d{1,2})(?:st|nd|rd|th)?[ -]([A-Za-z]{3})[A-Za-z]*\.?,?[ -]([0-6]\d)$", "$1-$2-20$3"),
-        (r"^(\d{1,2})(?:st|nd|rd|th)?[ -]([A-Za-z]{3})[A-Za-z]*\.?,?[ -]([7-9]\d)$", "$1-$2-19$3"),
-        (r"^(\d{1,2})(?:st|nd|rd|th)?[ -]([A-Za-z]{3})[A-Za-z]*\.?,?[ -](\d{4})$", "$1-$2-$3"),
-    ))
-    return F.date_format(F.try_to_timestamp(F.initcap(text), F.lit("d-MMM-yyyy")), "yyyy-MM-dd")
+    parts = F.when(
+        F.substring(text, 1, 1) > "9", F.regexp_replace(text, _NAME_FIRST, "$3-$1-$2")
+    ).otherwise(F.regexp_replace(text, _DAY_FIRST, "$3-$2-$1"))
+    year, name, day = (F.split_part(parts, F.lit("-"), F.lit(i)) for i in (1, 2, 3))
+    century = F.when(F.length(year) == 4, "").when(year < "70", "20").otherwise("19")
+    month = ((F.instr(F.lit(_MONTHS), F.lower(name)) + 2) / 3).cast("int").cast("string")
+    return F.concat(century, year, F.lit("-"), month, F.lit("-"), day)
 
 
 def _clock(text: Column) -> Column:
@@ -86,13 +88,26 @@ def parse_date(
         sure = (_MONTH_SURE, month_first_form) if day_first else (_DAY_SURE, day_first_form)
         year_last.insert(0, sure)
     day = F.regexp_replace(text, _CLOCK, "")
-    written = F.when(text.rlike(_NAMED), _named_month(day)).otherwise(
+    written = F.when(text.rlike("^[^:]*[A-Za-z]{3}"), _named_month(day)).otherwise(
         _rewritten(day, (*_YEAR_FIRST, *_SHORT_YEARS, *year_last))
     )
-    # Plain ISO texts are by far the most common: they take the cast alone and skip every pattern.
-    plain = text.rlike(r"^\d{4}-\d{2}-\d{2}([ T]\d{2}:\d{2}(:\d{2}(\.\d{1,9})?)?)?$")
-    readable = F.when(plain, text).when(
-        text.rlike(r"\d{4}") | text.rlike(r"\d[-/.]\d|[A-Za-z]-\d\d"), F.concat(written, _clock(text))
+    general = F.when(text.rlike(r"\d{4}|\d[-/.]\d|[A-Za-z]-\d\d"), F.concat(written, _clock(text)))
+
+    # The common ten-character forms and plain ISO times skip every pattern.
+    def mark(position: int) -> Column:
+        return F.substring(text, position, 1)
+
+    ten = F.length(text) == 10
+    plain = (mark(5) == "-") & (mark(8) == "-") & (ten | ((F.length(text) >= 16) & (mark(-1) <= "9")))
+    first, second = F.substring(text, 1, 2), F.substring(text, 4, 2)
+    month, other = (second, first) if day_first else (first, second)
+    if swap_impossible:
+        month, other = F.when(month > "12", other).otherwise(month), F.when(month > "12", month).otherwise(other)
+    readable = (
+        F.when(plain, text)
+        .when(ten & (mark(5) == "/") & (mark(8) == "/"), F.translate(text, "/", "-"))
+        .when(ten & (mark(3) == "/") & (mark(6) == "/"), F.concat_ws("-", F.substring(text, 7, 4), month, other))
+        .otherwise(general)
     )
     return readable.try_cast("timestamp_ntz")
 

@@ -27,8 +27,8 @@ def strict_number(column: Column, data_type: T.DataType | None = None) -> Column
         return finite(column.cast("double"))
     if isinstance(data_type, T.NumericType):
         return column.cast("double")
-    # No match extracts a blank, which casts to null: the text appears once in the expression.
-    return F.regexp_extract(trimmed(column), NUMBER_PATTERN, 0).try_cast("double")
+    text = trimmed(column)
+    return F.when(text.rlike(NUMBER_PATTERN), text).try_cast("double")
 
 
 def lenient_number(column: Column, data_type: T.DataType | None = None, percentage: bool = False) -> Column:
@@ -41,7 +41,9 @@ def lenient_number(column: Column, data_type: T.DataType | None = None, percenta
     text = trimmed(column)
     signed = F.regexp_replace(text, r"^\([^0-9+\-.]*[+-]?(.*)\)$", "-$1")
     digits = F.regexp_replace(signed, r"[^0-9+\-.]", "")
-    value = strict_number(F.when(text.rlike(NUMBER_PATTERN), text).otherwise(digits))
+    # Only digits, signs and dots are left here, so the cast accepts nothing but plain numbers.
+    short = F.when(F.length(digits) <= 200, digits)
+    value = F.when(text.rlike(NUMBER_PATTERN), text).otherwise(short).try_cast("double")
     if percentage:
         value = value / F.when(F.contains(text, F.lit("%")), 100.0).otherwise(1.0)
     return value

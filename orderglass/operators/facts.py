@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -38,111 +38,148 @@ def _best(df: DataFrame, label: str, amount: str, lowest: bool = False) -> DataF
     return best.select(F.col(f"b.{label}").alias("label"), F.col(f"b.{amount}").alias("amount"))
 
 
-def headline_facts(tables: Mapping[str, DataFrame], top_anomalies: int = 10) -> DataFrame:
-    """The statements of a written summary as rows.
+SECTIONS = ("executive", "business", "status", "quality", "validation", "finance", "anomaly")
 
-    Totals come from the monthly table: undated rows are out, and an order that spans two months counts in
-    both. The dashboard indicators below cover all rows instead.
-    """
+
+def _extreme(df: DataFrame, section: str, metric: str, label: str, amount: str, lowest: bool = False) -> DataFrame:
+    found = _best(df, label, amount, lowest).where("label is not null")
+    return _facts(found, _fact(section, metric, F.col("label"), F.col("amount")))
+
+
+def _executive(tables: Mapping[str, DataFrame]) -> list[DataFrame]:
+    """Totals come from the monthly table: undated rows are out, an order in two months counts in both."""
     monthly, c = tables["monthly_summary"], F.col
+    complete = complete_months(monthly)
     totals = monthly.agg(
         money_total(c("revenue")).alias("revenue"), money_total(c("gross_revenue")).alias("gross"),
         money_total(c("discount_amount")).alias("discount"), F.coalesce(F.sum("orders"), F.lit(0)).alias("orders"),
         money_total(c("units")).alias("units"),
     )
-    parts = [_facts(
-        totals,
-        _fact("executive", "dated_revenue", number=c("revenue")),
-        _fact("executive", "dated_orders", number=c("orders")),
-        _fact("executive", "dated_units", number=c("units")),
-        _fact("executive", "dated_aov", number=safe_divide(c("revenue"), c("orders"))),
-        _fact("executive", "dated_discount", number=c("discount")),
-        _fact("executive", "discount_impact_rate", number=safe_divide(c("discount"), c("gross"))),
-    )]
-    complete = complete_months(monthly)
-
-    def extreme(df: DataFrame, section: str, metric: str, label: str, amount: str, lowest: bool = False) -> None:
-        found = _best(df, label, amount, lowest).where("label is not null")
-        parts.append(_facts(found, _fact(section, metric, c("label"), c("amount"))))
-
-    extreme(complete, "executive", "strongest_complete_month", "year_month", "revenue")
-    extreme(complete, "executive", "weakest_complete_month", "year_month", "revenue", lowest=True)
-    extreme(complete, "executive", "highest_growth_month", "year_month", "revenue_growth_rate")
-    parts.append(_facts(
-        monthly.where("is_partial_period"),
-        _fact("executive", "partial_month", c("year_month"), text=c("partial_reason")),
-    ))
     from_nothing = (c("previous_revenue") == 0) & (c("revenue") != 0)
-    parts.append(_facts(
-        complete.where(from_nothing), _fact("executive", "growth_not_meaningful", c("year_month"), c("revenue")),
-    ))
-    extreme(tables["category_summary"], "business", "top_category", "category", "revenue")
-    if tables.get("customer_summary") is not None:
-        extreme(tables["customer_summary"], "business", "top_customer", "customer_name", "revenue")
-    extreme(tables["top_products"], "business", "top_product", "product_name", "revenue")
+    return [
+        _facts(
+            totals,
+            _fact("executive", "dated_revenue", number=c("revenue")),
+            _fact("executive", "dated_orders", number=c("orders")),
+            _fact("executive", "dated_units", number=c("units")),
+            _fact("executive", "dated_aov", number=safe_divide(c("revenue"), c("orders"))),
+            _fact("executive", "dated_discount", number=c("discount")),
+            _fact("executive", "discount_impact_rate", number=safe_divide(c("discount"), c("gross"))),
+        ),
+        _extreme(complete, "executive", "strongest_complete_month", "year_month", "revenue"),
+        _extreme(complete, "executive", "weakest_complete_month", "year_month", "revenue", lowest=True),
+        _extreme(complete, "executive", "highest_growth_month", "year_month", "revenue_growth_rate"),
+        _facts(
+            monthly.where("is_partial_period"),
+            _fact("executive", "partial_month", c("year_month"), text=c("partial_reason")),
+        ),
+        _facts(
+            complete.where(from_nothing), _fact("executive", "growth_not_meaningful", c("year_month"), c("revenue")),
+        ),
+    ]
+
+
+def _business(tables: Mapping[str, DataFrame]) -> list[DataFrame]:
+    parts = [
+        _extreme(tables["category_summary"], "business", "top_category", "category", "revenue"),
+        _extreme(tables["customer_summary"], "business", "top_customer", "customer_name", "revenue"),
+        _extreme(tables["top_products"], "business", "top_product", "product_name", "revenue"),
+        _facts(
+            tables["anomalies"].agg(F.count(F.lit(1)).alias("n")),
+            _fact("business", "anomaly_count", number=F.col("n")),
+        ),
+    ]
     if tables.get("store_summary") is not None:
-        extreme(assigned_stores(tables["store_summary"]), "business", "top_store", "store_name", "revenue")
-    anomalies = tables["anomalies"]
-    parts.append(_facts(
-        anomalies.agg(F.count(F.lit(1)).alias("n")), _fact("business", "anomaly_count", number=c("n"))
-    ))
-    parts.append(_facts(
-        tables["report_status"], _fact("status", "report_status", c("status"), text=c("reason"))
-    ))
-    parts.append(_facts(
-        tables["data_quality"].where(c("section") == "duplicates"),
-        _fact("quality", "duplicates", c("metric"), c("value_double")),
-    ))
-    parts.append(_facts(
-        tables["post_conversion_data_quality"].where(
-            (c("issue_count") > 0) | c("check_name").isin("invalid_date_count")
+        stores = assigned_stores(tables["store_summary"])
+        parts.append(_extreme(stores, "business", "top_store", "store_name", "revenue"))
+    return parts
+
+
+def _status(tables: Mapping[str, DataFrame]) -> list[DataFrame]:
+    return [_facts(
+        tables["report_status"], _fact("status", "report_status", F.col("status"), text=F.col("reason"))
+    )]
+
+
+def _quality(tables: Mapping[str, DataFrame]) -> list[DataFrame]:
+    c = F.col
+    return [
+        _facts(
+            tables["data_quality"].where(c("section") == "duplicates"),
+            _fact("quality", "duplicates", c("metric"), c("value_double")),
+        ),
+        _facts(
+            tables["post_conversion_data_quality"].where(
+                (c("issue_count") > 0) | (c("check_name") == "invalid_date_count")
+            ),
+            _fact("quality", "order_check", c("check_name"), c("issue_count")),
+        ),
+        _facts(
+            tables["expense_post_conversion_quality"].where(c("issue_count") > 0),
+            _fact("quality", "expense_check", c("check_name"), c("issue_count")),
+        ),
+    ]
+
+
+def _validation(tables: Mapping[str, DataFrame]) -> list[DataFrame]:
+    validation, c = tables["validation_report"], F.col
+    return [
+        _facts(
+            validation.agg(
+                F.count_if(c("status") != "info").alias("checks"), F.count_if(c("status") == "failed").alias("failed")
+            ),
+            _fact("validation", "check_count", number=c("checks")),
+            _fact("validation", "failed_check_count", number=c("failed")),
+        ),
+        _facts(
+            validation.where(c("status") == "failed"),
+            _fact("validation", "failed_check", c("check_name"), c("difference")),
         ),
-        _fact("quality", "order_check", c("check_name"), c("issue_count")),
-    ))
-    parts.append(_facts(
-        tables["expense_post_conversion_quality"].where(c("issue_count") > 0),
-        _fact("quality", "expense_check", c("check_name"), c("issue_count")),
-    ))
-    validation = tables["validation_report"]
-    parts.append(_facts(
-        validation.agg(
-            F.count_if(c("status") != "info").alias("checks"), F.count_if(c("status") == "failed").alias("failed")
+        _facts(
+            validation.where(c("status") == "info"), _fact("validation", "info", c("check_name"), c("actual_value"))
         ),
-        _fact("validation", "check_count", number=c("checks")),
-        _fact("validation", "failed_check_count", number=c("failed")),
-    ))
-    parts.append(_facts(
-        validation.where(c("status") == "failed"),
-        _fact("validation", "failed_check", c("check_name"), c("difference")),
-    ))
-    parts.append(_facts(
-        validation.where(c("status") == "info"), _fact("validation", "info", c("check_name"), c("actual_value"))
-    ))
-    parts.append(_facts(
-        tables["finance_status"].where(c("metric") == "finance_module_status"),
-        _fact("finance", "finance_module_status", text=c("value_text")),
-    ))
-    parts.append(_facts(
-        tables["finance_kpis"], _fact("finance", "kpi", c("metric"), c("value_double"), c("value_text"))
-    ))
-    flow = tables["cash_flow_summary"]
-    extreme(flow, "finance", "strongest_cash_flow_month", "year_month", "net_cash_flow")
-    extreme(flow, "finance", "weakest_cash_flow_month", "year_month", "net_cash_flow", lowest=True)
-    breakdown = tables["expense_category_breakdown"]
+    ]
+
+
+def _finance(tables: Mapping[str, DataFrame]) -> list[DataFrame]:
+    flow, breakdown, c = tables["cash_flow_summary"], tables["expense_category_breakdown"], F.col
     largest = _best(breakdown, "expense_category", "total_expense").where("label is not null")
     share = breakdown.join(largest.select(c("label").alias("expense_category")), "expense_category", "left_semi")
-    parts.append(_facts(
-        share, _fact("finance", "largest_category_share", c("expense_category"), c("share_of_expenses"))
-    ))
     first = F.min(F.struct("year_month", "warning_type")).alias("w")
-    parts.append(_facts(
-        tables["cash_flow_warnings"].agg(first).where("w is not null"),
-        _fact("finance", "first_cash_flow_warning", c("w.year_month"), text=c("w.warning_type")),
-    ))
-    parts.append(_facts(
-        first_anomalies(anomalies, top_anomalies), _fact("anomaly", "note", c("anomaly_label"), text=c("details"))
-    ))
-    return reduce(DataFrame.unionByName, parts)
+    return [
+        _facts(
+            tables["finance_status"].where(c("metric") == "finance_module_status"),
+            _fact("finance", "finance_module_status", text=c("value_text")),
+        ),
+        _facts(tables["finance_kpis"], _fact("finance", "kpi", c("metric"), c("value_double"), c("value_text"))),
+        _extreme(flow, "finance", "strongest_cash_flow_month", "year_month", "net_cash_flow"),
+        _extreme(flow, "finance", "weakest_cash_flow_month", "year_month", "net_cash_flow", lowest=True),
+        _facts(
+            share, _fact("finance", "largest_category_share", c("expense_category"), c("share_of_expenses"))
+        ),
+        _facts(
+            tables["cash_flow_warnings"].agg(first).where("w is not null"),
+            _fact("finance", "first_cash_flow_warning", c("w.year_month"), text=c("w.warning_type")),
+        ),
+    ]
+
+
+def _anomaly(tables: Mapping[str, DataFrame]) -> list[DataFrame]:
+    return [_facts(
+        first_anomalies(tables["anomalies"]), _fact("anomaly", "note", F.col("anomaly_label"), text=F.col("details"))
+    )]
+
+
+def headline_facts(tables: Mapping[str, DataFrame], sections: Sequence[str] = SECTIONS) -> DataFrame:
+    """The statements of a written summary as rows.
+
+    Each fact reads one report table, so pass tables that are already written rather than their definitions.
+    """
+    builders = {
+        "executive": _executive, "business": _business, "status": _status, "quality": _quality,
+        "validation": _validation, "finance": _finance, "anomaly": _anomaly,
+    }
+    return reduce(DataFrame.unionByName, [part for name in sections for part in builders[name](tables)])
 
 
 def first_anomalies(anomalies: DataFrame, n: int = 10) -> DataFrame:

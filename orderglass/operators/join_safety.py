@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from orderglass.functions.keys import LEADING_ZERO, join_key_columns, numeric_key, text_key
 from orderglass.functions.text import quoted
@@ -20,15 +21,19 @@ FORMAT_WARNING = (
 ROWS = "decimal(38,0)"
 
 
-def key_counts(df: DataFrame, keys: Sequence[Column], prefix: str) -> DataFrame:
-    """Rows per key. A row with any null key part counts under the all-null key."""
+def key_counts(df: DataFrame, keys: Sequence[Column], prefix: str, weight: str | None = None) -> DataFrame:
+    """Rows per key. A row with any null key part counts under the all-null key.
+
+    With ``weight``, each row of ``df`` stands for that many rows.
+    """
     names = [f"{prefix}{i}" for i in range(len(keys))]
-    keyed = df.select(*[key.alias(name) for key, name in zip(keys, names)])
+    rows = F.col(weight) if weight else F.lit(1)
+    keyed = df.select(*[key.alias(name) for key, name in zip(keys, names)], rows.cast("bigint").alias("_rows"))
     complete = reduce(lambda a, b: a & b, [F.col(name).isNotNull() for name in names])
     return (
-        keyed.select(*[F.when(complete, F.col(name)).alias(name) for name in names])
+        keyed.select(*[F.when(complete, F.col(name)).alias(name) for name in names], "_rows")
         .groupBy(*names)
-        .agg(F.count(F.lit(1)).alias(f"{prefix}n"))
+        .agg(F.sum("_rows").alias(f"{prefix}n"))
     )
 
 
@@ -123,7 +128,8 @@ SAFETY_COLUMNS = (
 )
 
 
-def _is_fact_to_fact(left_role: str, right_role: str, left_entity: str, right_entity: str) -> tuple[bool, bool]:
+def role_risks(left_role: str, right_role: str, left_entity: str, right_entity: str) -> tuple[bool, bool]:
+    """Whether two facts would be joined, and whether it is the harmless line-to-order case."""
     line_to_header = left_entity == "order_line" and right_entity == "order_header"
     return left_role == "fact" and right_role == "fact" and not line_to_header, line_to_header
 
@@ -161,15 +167,34 @@ def join_safety(
     left_entity: str = "unknown",
     right_entity: str = "unknown",
     unicode_text: bool | None = None,
+    left_weight: str | None = None,
 ) -> DataFrame:
     """Examine a left join without running it; one row.
 
     Both tables shrink to one row per key before they meet, so the key that holds a third of the rows is one
-    row here. The predicted growth is a product of two counts and is kept in a wide decimal.
+    row here. The predicted growth is a product of two counts and is kept in a wide decimal. With
+    ``left_weight`` each left row stands for that many rows.
     """
+    measured = measured_overlap(left, right, left_on, right_on, kinds, unicode_text, left_weight)
+    fact_to_fact, line_to_header = role_risks(left_role, right_role, left_entity, right_entity)
+    return with_verdicts(
+        measured, F.lit(fact_to_fact), F.lit(line_to_header), F.col("format_warnings")
+    ).select(*SAFETY_COLUMNS)
+
+
+def measured_overlap(
+    left: DataFrame,
+    right: DataFrame,
+    left_on: Sequence[str],
+    right_on: Sequence[str],
+    kinds: Sequence[str] | None = None,
+    unicode_text: bool | None = None,
+    left_weight: str | None = None,
+) -> DataFrame:
+    """The counts behind :func:`join_safety`, before any verdict; one row."""
     kinds = kinds or ["text"] * len(left_on)
     left_keys, right_keys = join_key_columns(left, right, left_on, right_on, kinds, unicode_text)
-    counts = key_counts(left, left_keys, "l").join(
+    counts = key_counts(left, left_keys, "l", left_weight).join(
         key_counts(right, right_keys, "r"),
         [F.col(f"l{i}") == F.col(f"r{i}") for i in range(len(left_keys))],
         "full",
@@ -177,18 +202,16 @@ def join_safety(
     measured = counts.agg(*overlap_measures(
         F.col("l0").isNotNull(), F.col("r0").isNotNull(), F.col("ln"), F.col("rn")
     ))
-    warnings = []
-    for a, b in zip(left_on, right_on):
-        # Leading zeros only exist in text columns.
-        if left.schema[a].dataType.typeName() == right.schema[b].dataType.typeName() == "string" or (
-            "string" in (left.schema[a].dataType.typeName(), right.schema[b].dataType.typeName())
-        ):
-            warnings.append(leading_zero_overlap(left, right, a, b).select("format_warning").scalar())
-    fact_to_fact, line_to_header = _is_fact_to_fact(left_role, right_role, left_entity, right_entity)
-    format_warnings = F.array_compact(F.array(*warnings)) if warnings else F.array().cast("array<string>")
-    return with_verdicts(
-        measured, F.lit(fact_to_fact), F.lit(line_to_header), format_warnings
-    ).select(*SAFETY_COLUMNS)
+    # Leading zeros only exist in text columns.
+    warnings = [
+        leading_zero_overlap(left, right, a, b).select("format_warning").scalar()
+        for a, b in zip(left_on, right_on)
+        if T.StringType() in (left.schema[a].dataType, right.schema[b].dataType)
+    ]
+    return measured.withColumn(
+        "format_warnings",
+        F.array_compact(F.array(*warnings)) if warnings else F.array().cast("array<string>"),
+    )
 
 
 def sample_overlap(

@@ -199,8 +199,13 @@ def exact_sum_of_orders(orders: DataFrame) -> DataFrame:
 
 
 def assigned_stores(stores: DataFrame) -> DataFrame:
-    """Stores that can be ranked. The group key decides: a real store may be called Unassigned Store."""
-    return stores.where(F.col("_group") != "")
+    """Stores that can be ranked. The group key decides: a real store may be called Unassigned Store.
+
+    A written summary has no group key any more; there, a store with an id is always a real one.
+    """
+    if "_group" in stores.columns:
+        return stores.where(F.col("_group") != "")
+    return stores.where(F.col("store_id").isNotNull() | (F.col("store_name") != UNASSIGNED_STORE))
 
 
 def store_status(orders: DataFrame) -> DataFrame:

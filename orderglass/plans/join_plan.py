@@ -10,9 +10,9 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orderglass.functions.keys import join_key_columns
+from orderglass.functions.keys import has_unicode, join_key_columns
 from orderglass.functions.text import quoted
-from orderglass.operators.join_safety import join_safety
+from orderglass.operators.join_safety import key_counts, measured_overlap, role_risks, with_verdicts
 
 DIAGNOSTIC_SCHEMA = (
     "step_id string, left_table string, right_table string, left_columns array<string>, "
@@ -22,6 +22,9 @@ DIAGNOSTIC_SCHEMA = (
 )
 
 
+WEIGHT = "__fact_rows"
+
+
 @dataclass(frozen=True)
 class JoinStep:
     """One many-to-one join: look ``right_table`` up from ``left_table``."""
@@ -144,28 +147,27 @@ def _attach(frame: DataFrame, right: DataFrame, left_on: Sequence[str], step: Jo
     return keyed.join(renamed, condition, "left").drop(*drop)
 
 
-def _path_frame(
-    tables: Mapping[str, DataFrame], fact: str, steps: Sequence[JoinStep], target: str, columns: Sequence[str],
-    fact_columns: Mapping[tuple[str, str], str],
-) -> DataFrame:
-    """The fact rows with just the columns a step looks up from, joined along the path to its left table."""
-    if target == fact:
-        return tables[fact].select(*map(quoted, columns))
-    path, table = [], target
-    by_right = {step.right_table: step for step in steps}
-    while table != fact:
-        path.insert(0, by_right[table])
-        table = path[0].left_table
-    needed: dict[str, list[str]] = {target: list(columns)}
-    for step in path:
-        needed.setdefault(step.left_table, []).extend(step.left_columns)
-    frame = tables[fact].select(*map(quoted, dict.fromkeys(needed[fact])))
-    for step in path:
-        left_on = [fact_columns[(step.left_table, column)] for column in step.left_columns]
-        wanted = {c: fact_columns[(step.right_table, c)] for c in dict.fromkeys(needed.get(step.right_table, []))}
-        right = tables[step.right_table]
-        frame = _attach(frame, right, left_on, step, wanted)
-    return frame
+def _weighted_tables(
+    tables: Mapping[str, DataFrame], fact: str, steps: Sequence[JoinStep], unicode_steps: Mapping[JoinStep, bool]
+) -> dict[str, DataFrame]:
+    """Every joined table with the number of fact rows that reach each of its rows.
+
+    The fact shrinks to key counts, which meet the dimension on its key and are summed again for the next
+    step. So the steps further out never touch the fact rows, and a key that repeats in a dimension cannot blow
+    up the check.
+    """
+    weighted = {fact: tables[fact].withColumn(WEIGHT, F.lit(1).cast("bigint"))}
+    for step in steps:
+        left, right = weighted[step.left_table], tables[step.right_table]
+        left_keys, right_keys = join_key_columns(
+            left, right, step.left_columns, step.right_columns, step.key_kinds(), unicode_steps[step]
+        )
+        counts = key_counts(left, left_keys, "__left_", WEIGHT)
+        spots = range(len(left_keys))
+        keyed = right.select("*", *[key.alias(f"__right_{i}") for i, key in zip(spots, right_keys)])
+        met = counts.join(keyed, [F.col(f"__left_{i}") == F.col(f"__right_{i}") for i in spots], "left")
+        weighted[step.right_table] = met.select(*map(quoted, right.columns), F.col("__left_n").alias(WEIGHT))
+    return weighted
 
 
 def run_join_plan(
@@ -176,10 +178,9 @@ def run_join_plan(
 ) -> JoinResult:
     """Join every approved dimension onto the fact rows, or return no data at all.
 
-    Each step is proven safe from key counts first. Steps at the same distance from the fact table share one
-    job, and a lookup from a dimension only touches the tables on its own path. The proof also yields the
-    match counts, so the join itself stays lazy: nothing is counted twice. Dimension columns are named
-    ``<table>.<column>``. Whether a dimension is broadcast is left to the size statistics at run time.
+    All steps are proven safe first, in one job over key counts; the first unsafe step stops the plan. The proof
+    also yields the match counts, so the join itself stays lazy and nothing is counted twice. Dimension columns
+    are named ``<table>.<column>``. Whether a dimension is broadcast is left to the size statistics at run time.
     """
     spark = tables[fact].sparkSession if fact in tables else next(iter(tables.values())).sparkSession
     empty = spark.createDataFrame([], DIAGNOSTIC_SCHEMA)
@@ -197,41 +198,52 @@ def run_join_plan(
             names[(step.right_table, column)] = _unused(f"{step.right_table}.{column}", used)
 
     rows = []
-    for level in levels:
-        checks = []
-        for step in level:
-            unknown = [c for c in step.left_columns if (step.left_table, c) not in names]
-            unknown += [c for c in step.right_columns if c not in tables[step.right_table].columns]
-            if unknown:
-                message = f"Step {step_ids[step]} cannot find the key column {unknown[0]!r}."
-                rows.append((step_ids[step], step.left_table, step.right_table, list(step.left_columns),
-                             list(step.right_columns), None, None, None, None, None, None, "failed_lineage", message))
-                return JoinResult(False, None, spark.createDataFrame(rows, DIAGNOSTIC_SCHEMA), message)
-            left = _path_frame(tables, fact, ordered, step.left_table, step.left_columns, names)
-            left_role = roles.get(step.left_table, TableRole())
-            right_role = roles.get(step.right_table, TableRole())
-            checks.append(join_safety(
-                left, tables[step.right_table],
-                [names[(step.left_table, column)] for column in step.left_columns], step.right_columns,
-                step.key_kinds(), left_role.role, right_role.role, left_role.entity, right_role.entity,
-            ).select(
-                F.lit(step_ids[step]).alias("step_id"), "before_row_count", "after_row_count",
-                "matched_row_count", "match_rate", "row_count_change", "right_key_uniqueness", "blocked",
-                "block_reasons",
-            ))
-        found = {row["step_id"]: row for row in reduce(DataFrame.unionByName, checks).collect()}
-        for step in level:
-            row = found[step_ids[step]]
-            failed = row["blocked"] or row["right_key_uniqueness"] < 1.0
-            message = (" ".join(row["block_reasons"]) or "Right key is not unique.") if failed else ""
-            rows.append((
-                step_ids[step], step.left_table, step.right_table, list(step.left_columns),
-                list(step.right_columns), row["before_row_count"], row["after_row_count"],
-                row["matched_row_count"], row["before_row_count"] - row["matched_row_count"], row["match_rate"],
-                row["row_count_change"], "blocked_preflight" if failed else "passed", message,
-            ))
-            if failed:
-                return JoinResult(False, None, spark.createDataFrame(rows, DIAGNOSTIC_SCHEMA), message)
+
+    def diagnostic(step: JoinStep, status: str, message: str, *numbers) -> None:
+        rows.append((
+            step_ids[step], step.left_table, step.right_table, list(step.left_columns), list(step.right_columns),
+            *(numbers or (None,) * 6), status, message,
+        ))
+
+    for step in ordered:
+        unknown = [c for c in step.left_columns if c not in tables[step.left_table].columns]
+        unknown += [c for c in step.right_columns if c not in tables[step.right_table].columns]
+        if unknown:
+            message = f"Step {step_ids[step]} cannot find the key column {unknown[0]!r}."
+            diagnostic(step, "failed_lineage", message)
+            return JoinResult(False, None, spark.createDataFrame(rows, DIAGNOSTIC_SCHEMA), message)
+    unicode_steps = {
+        step: has_unicode(tables[step.left_table], step.left_columns)
+        or has_unicode(tables[step.right_table], step.right_columns)
+        for step in ordered
+    }
+    weighted = _weighted_tables(tables, fact, ordered, unicode_steps)
+    checks = []
+    for step in ordered:
+        left, right = roles.get(step.left_table, TableRole()), roles.get(step.right_table, TableRole())
+        fact_to_fact, line_to_header = role_risks(left.role, right.role, left.entity, right.entity)
+        checks.append(measured_overlap(
+            weighted[step.left_table], tables[step.right_table], step.left_columns, step.right_columns,
+            step.key_kinds(), unicode_steps[step], WEIGHT,
+        ).select(
+            "*", F.lit(step_ids[step]).alias("step_id"), F.lit(fact_to_fact).alias("two_facts"),
+            F.lit(line_to_header).alias("to_header"),
+        ))
+    judged = with_verdicts(
+        reduce(DataFrame.unionByName, checks), F.col("two_facts"), F.col("to_header"), F.col("format_warnings")
+    ) if checks else None
+    found = {row["step_id"]: row for row in judged.collect()} if checks else {}
+    for step in ordered:
+        row = found[step_ids[step]]
+        failed = row["blocked"] or row["right_key_uniqueness"] < 1.0
+        message = (" ".join(row["block_reasons"]) or "Right key is not unique.") if failed else ""
+        diagnostic(
+            step, "blocked_preflight" if failed else "passed", message, row["before_row_count"],
+            row["after_row_count"], row["matched_row_count"], row["before_row_count"] - row["matched_row_count"],
+            row["match_rate"], row["row_count_change"],
+        )
+        if failed:
+            return JoinResult(False, None, spark.createDataFrame(rows, DIAGNOSTIC_SCHEMA), message)
 
     frame = tables[fact]
     for step in ordered:

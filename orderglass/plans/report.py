@@ -25,7 +25,7 @@ from orderglass.operators.summary import (
     category_summary, customer_summary, monthly_summary, store_status, store_summary, top_products,
 )
 from orderglass.session import stage
-from orderglass.sources.sink import write_report
+from orderglass.sources.sink import visible, write_report
 from orderglass.sources.tables import read_expenses, read_orders
 
 Tables = dict[str, DataFrame]
@@ -111,13 +111,23 @@ def run_report(
     tables = order_report(orders, expenses, orders_path, expenses_path or "")
     if transform is not None:
         tables = transform(tables)
+    if output is not None:
+        tables = written_report(tables, output)
     if not missing_columns(orders):
         tables["headline_facts"] = headline_facts(tables)
-    if output is not None:
-        write_report(tables, output)
+        if output is not None:
+            write_report({"headline_facts": tables["headline_facts"]}, output)
     return tables
 
 
+def written_report(tables: Tables, output: str) -> Tables:
+    """Write the tables and return them as written, so that later readers do not compute them again."""
+    spark = tables["enriched_orders"].sparkSession
+    names = write_report(tables, output)
+    read = {name: spark.read.schema(visible(tables[name]).schema).parquet(f"{output.rstrip('/')}/{name}") for name in names}
+    return {**tables, **read}
+
+
 def final_store_availability(availability: DataFrame, enriched: DataFrame) -> DataFrame:
     """Availability with the store record recomputed over the rows the report really used."""
     c = F.col
@@ -267,5 +277,4 @@ def mapped_report(
         fact_table, preflight, tables["field_availability"], original_rows, merged_rows, approved, rejected
     )
     tables["excluded_rows_detail"] = preflight.excluded
-    tables["headline_facts"] = headline_facts(tables)
     return tables, preflight

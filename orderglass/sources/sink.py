@@ -18,6 +18,11 @@ MAPPED_TABLES = ("data_preparation_summary", "field_availability", "report_cover
 OPTIONAL_TABLES = ("store_summary", "headline_facts")
 
 
+def visible(df: DataFrame) -> DataFrame:
+    """``df`` without helper columns, whose names start with an underscore."""
+    return df.select(*[f"`{column}`" for column in df.columns if not column.startswith("_")])
+
+
 def write_report(tables: Mapping[str, DataFrame], folder: str, file_format: str = "parquet") -> list[str]:
     """One folder per table; returns the names written. Helper columns (leading underscore) stay out.
 
@@ -33,7 +38,6 @@ def write_report(tables: Mapping[str, DataFrame], folder: str, file_format: str
         df = tables.get(name)
         if df is None or name in skipped:
             continue
-        visible = df.select(*[f"`{column}`" for column in df.columns if not column.startswith("_")])
-        visible.write.mode("overwrite").format(file_format).save(f"{folder.rstrip('/')}/{name}")
+        visible(df).write.mode("overwrite").format(file_format).save(f"{folder.rstrip('/')}/{name}")
         written.append(name)
     return written

@@ -25,6 +25,16 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return found is not None and len(found) > 0
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give every core a share of a scan that comes in fewer pieces than there are cores.
+
+    A file with one row group is one task, however costly the expressions on top are. On a large table the scan
+    has far more pieces than cores and stays untouched.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def sniff_delimiter(spark: SparkSession, path: str, encoding: str = "UTF-8") -> str:
     """The delimiter of a text table: a comma unless the header has none and another one splits it steadily.
 

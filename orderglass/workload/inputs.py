@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from orderglass.operators.finance import prepare_expenses
 from orderglass.operators.revenue import add_revenue
+from orderglass.sources.tables import spread
 
 # Neither brand, part name nor customer name is a number in these tables, so no query needs to test that
 # again; ``enriched_orders`` runs the test itself.
@@ -20,16 +21,16 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 def numbered_lines(spark: SparkSession, folder: str) -> DataFrame:
     """Line items with their original position: header line 1, first row 2."""
-    return table(spark, folder, "lineitem").select(
+    return spread(table(spark, folder, "lineitem").select(
         "*", (F.col("_metadata.row_index") + 2).alias("source_row_number")
-    )
+    ))
 
 
 def order_rows(
     spark: SparkSession, folder: str, customer: bool = False, store: bool = False, numbered: bool = False
 ) -> DataFrame:
     """Line items as order rows in the standard schema."""
-    lines = numbered_lines(spark, folder) if numbered else table(spark, folder, "lineitem")
+    lines = numbered_lines(spark, folder) if numbered else spread(table(spark, folder, "lineitem"))
     orders = table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     part = table(spark, folder, "part").select("p_partkey", "p_name", "p_brand", "p_retailprice")
     joined = lines.join(orders, lines.l_orderkey == orders.o_orderkey, "left").join(
@@ -189,7 +190,7 @@ BUSINESS_NAMES = {
 
 def business_tables(spark: SparkSession, folder: str, names: tuple[str, ...] = ()) -> dict[str, DataFrame]:
     return {
-        name: table(spark, folder, name).withColumnsRenamed(BUSINESS_NAMES[name])
+        name: spread(table(spark, folder, name)).withColumnsRenamed(BUSINESS_NAMES[name])
         for name in (names or tuple(BUSINESS_NAMES))
     }
 

@@ -23,7 +23,9 @@ from orderglass.operators.discovery import discover_relationships
 from orderglass.operators.duplicates import duplicate_groups
 from orderglass.plans.join_plan import JoinStep, TableRole, run_join_plan
 from orderglass.plans.report import adapt_to_availability, order_report
+from orderglass.session import stage
 from orderglass.sources.damage import text_damage
+from orderglass.sources.tables import spread
 from orderglass.workload import inputs as io
 from orderglass.workload.inputs import plain
 
@@ -340,14 +342,14 @@ def drop_selected_rows(spark, d):
 
 
 def text_damage_score(spark, d):
-    return text_damage(io.table(spark, d, "documents").select("source", "text"), ("source",))
+    return text_damage(spread(io.table(spark, d, "documents").select("source", "text")), ("source",))
 
 
 def _report_tables(spark, d):
-    """The report over benchmark orders and dirty expenses, lazily, without staging."""
+    """The report over benchmark orders and dirty expenses; the enriched rows are written once."""
     rows = io.order_rows(spark, d, customer=True, store=True)
-    enriched = io.add_revenue(rows, numeric_names=io.TEXT_NAMES)
-    monthly = su.monthly_summary(enriched)
+    enriched = stage(io.add_revenue(rows, numeric_names=io.TEXT_NAMES), "enriched")
+    monthly = stage(su.monthly_summary(enriched), "monthly")
     finance = fi.finance_tables(monthly, io.dirty_expense_rows(spark, d))
     category, customer = su.category_summary(enriched, False), su.customer_summary(enriched, False)
     quality = qu.raw_quality(rows)
@@ -365,7 +367,10 @@ def _report_tables(spark, d):
 
 
 def headline_facts(spark, d):
-    return fa.headline_facts(_report_tables(spark, d)).where("section in ('executive', 'business', 'finance')")
+    tables = _report_tables(spark, d)
+    for name in ("category_summary", "customer_summary", "store_summary", "cash_flow_summary"):
+        tables[name] = stage(tables[name], name)
+    return fa.headline_facts(tables, ("executive", "business", "finance"))
 
 
 def dashboard_kpis(spark, d):
@@ -377,7 +382,7 @@ def store_extremes(spark, d):
 
 
 def action_required(spark, d):
-    enriched = io.dirty_enriched_rows(spark, d)
+    enriched = stage(io.dirty_enriched_rows(spark, d), "enriched")
     monthly = su.monthly_summary(enriched)
     post = qu.post_quality(enriched)
     rows = io.dirty_order_rows(spark, d)
