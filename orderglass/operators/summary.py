@@ -31,7 +31,6 @@ def _measures() -> list[Column]:
         exact_sum(F.col("discount_amount")).alias("discount_amount"),
         exact_sum(F.col("discounted_revenue")).alias("discounted_revenue"),
         exact_sum(F.col("final_revenue")).alias("revenue"),
-        F.countDistinct("order_id").alias("orders"),
         exact_sum(F.col("quantity")).alias("units"),
         F.try_divide(F.sum(returned), F.count(returned)).alias("return_rate"),
         F.try_divide(exact_sum(F.col("discount_rate")).cast("double"), F.count("discount_rate")).alias(
@@ -40,6 +39,25 @@ def _measures() -> list[Column]:
     ]
 
 
+def _with_orders(rows: DataFrame, keys: Sequence[str], measures: Sequence[Column]) -> DataFrame:
+    """The measures per key and the number of distinct orders.
+
+    Counting the orders in the same aggregate would shuffle every sum once per (key, order) pair, which is about
+    once per row. Apart, the sums shrink to one row per key and task, and only the bare pairs are shuffled, spread
+    over all tasks however hot a key is. Both sides end up partitioned by the keys, so the join moves nothing big.
+    """
+    sums = rows.groupBy(*map(quoted, keys)).agg(*measures)
+    pairs = rows.where(F.col("order_id").isNotNull()).select(*map(quoted, keys), "order_id").distinct()
+    orders = pairs.groupBy(*map(quoted, keys)).agg(F.count(F.lit(1)).alias("orders"))
+    return sums.join(orders, list(keys), "left").withColumn("orders", F.coalesce("orders", F.lit(0)))
+
+
+MEASURES = (
+    "gross_revenue", "discount_amount", "discounted_revenue", "revenue", "orders", "units", "return_rate",
+    "average_discount_rate",
+)
+
+
 def _with_ratios(summary: DataFrame) -> DataFrame:
     return summary.withColumns({
         "AOV": safe_divide(F.col("revenue"), F.col("orders")),
@@ -54,11 +72,11 @@ def _known_keys(orders: DataFrame, keys: Sequence[str]) -> DataFrame:
 def summarize_orders(orders: DataFrame, keys: Sequence[str], ordered: bool = True) -> DataFrame:
     """Revenue, discount, order, unit and return measures per key, best revenue first.
 
-    Rows with a null key are left out; the reconciliation report then shows the gap. Partial sums shrink
-    every key before the shuffle, and the distinct order count shuffles on (key, order), so one hot key is
-    spread over all tasks. ``ordered=False`` skips the final sort.
+    Rows with a null key are left out; the reconciliation report then shows the gap. ``ordered=False`` skips the
+    final sort.
     """
-    summary = _with_ratios(_known_keys(orders, keys).groupBy(*map(quoted, keys)).agg(*_measures()))
+    summary = _with_orders(_known_keys(orders, keys), keys, _measures())
+    summary = _with_ratios(summary.select(*map(quoted, keys), *MEASURES))
     return summary.orderBy(F.desc("revenue"), *map(quoted, keys)) if ordered else summary
 
 
@@ -128,9 +146,8 @@ def monthly_summary(orders: DataFrame) -> DataFrame:
 
     The unpartitioned windows run over one row per month, never over orders.
     """
-    monthly = _with_ratios(
-        _known_keys(orders, ["year_month"]).groupBy("year_month").agg(*_measures(), *_coverage_measures())
-    )
+    months = _known_keys(orders, ["year_month"])
+    monthly = _with_ratios(_with_orders(months, ["year_month"], [*_measures(), *_coverage_measures()]))
     previous = F.lag("revenue").over(W.orderBy("year_month"))
     monthly = _with_coverage(monthly).withColumn("previous_revenue", previous)
     return monthly.withColumns({
@@ -176,13 +193,12 @@ def store_summary(orders: DataFrame, ordered: bool = True) -> DataFrame:
         grouped = grouped.withColumn(
             "source_row_number", F.when(F.col("_store_name").isNotNull(), F.col("source_row_number"))
         )
-    stores = grouped.groupBy("_group").agg(
+    stores = _with_orders(grouped, ["_group"], [
         F.max("_store_id").alias("store_id"),
         name.alias("_name"),
         exact_sum(F.col("final_revenue")).alias("revenue"),
-        F.countDistinct("order_id").alias("orders"),
         exact_sum(F.col("quantity")).alias("units"),
-    )
+    ])
     grand_total = exact_sum_of_orders(orders)
     stores = stores.withColumns({
         "store_name": F.when(F.col("_group") == "", UNASSIGNED_STORE)

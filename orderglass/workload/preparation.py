@@ -378,7 +378,7 @@ def dashboard_kpis(spark, d):
 
 
 def store_extremes(spark, d):
-    return plain(fa.store_extremes(su.store_summary(io.enriched_rows(spark, d, store=True), False)))
+    return plain(fa.store_extremes(su.store_summary(io.enriched_rows(spark, d, store=True, header=False), False)))
 
 
 def action_required(spark, d):

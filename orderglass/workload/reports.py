@@ -52,7 +52,7 @@ def period_coverage(spark, d):
 
 
 def category_summary(spark, d):
-    return plain(su.category_summary(io.enriched_rows(spark, d)))
+    return plain(su.category_summary(io.enriched_rows(spark, d, header=False)))
 
 
 def dirty_category_summary(spark, d):
@@ -69,15 +69,15 @@ def top_customers(spark, d):
 
 
 def top_products(spark, d):
-    return plain(su.top_products(io.enriched_rows(spark, d)))
+    return plain(su.top_products(io.enriched_rows(spark, d, header=False)))
 
 
 def store_summary(spark, d):
-    return plain(su.store_summary(io.enriched_rows(spark, d, store=True)).drop("_group"))
+    return plain(su.store_summary(io.enriched_rows(spark, d, store=True, header=False)).drop("_group"))
 
 
 def _partly_assigned(spark, d):
-    orders = io.enriched_rows(spark, d, store=True, numbered=True)
+    orders = io.enriched_rows(spark, d, store=True, numbered=True, header=False)
     shop = F.col("store_id")
     return orders.withColumns({
         "store_id": F.when(shop % 5 == 1, F.concat(shop.cast("string"), F.lit(".0"))).when(
