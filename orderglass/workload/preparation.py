@@ -239,7 +239,8 @@ def column_profile(spark, d):
 
 def table_roles(spark, d):
     return pr.table_roles(pr.profile_columns(io.business_tables(spark, d))).select(
-        "table_id", "row_count", "column_count", "entity_role", "role_guess", "role_confidence", "role_evidence",
+        "table_id", "row_count", "column_count", "entity_role", "role_guess", "role_confidence",
+        F.concat_ws("; ", "role_evidence").alias("role_evidence"),
         F.col("role_score_breakdown.fact_score").alias("fact_score"),
         F.col("role_score_breakdown.dimension_score").alias("dimension_score"),
     )

@@ -232,6 +232,67 @@ TWINS["column_profile"] = " UNION ALL ".join(
     for position, (column, name) in enumerate(names.items())
     for kind, key, measure, entity in (PROFILE_FACTS[table][name],)
 )
+FACT_RULES = (
+    ("has_order", 0.25, "order/transaction columns"),
+    ("measures > 0", 0.20, "numeric measures"),
+    ("dates > 0", 0.10, "dated records"),
+    ("repeated_keys >= 2", 0.20, "multiple repeating foreign-key-like columns"),
+    ("row_count = largest AND largest > middle", 0.10, "largest table"),
+    ("row_count >= 2 * middle", 0.05, "row count materially above median"),
+    ("entity_role IN ('order_line', 'order_header')", 0.10, "table/file name suggests sales or orders"),
+)
+DIMENSION_RULES = (
+    ("unique_keys > 0", 0.30, "near-unique key-like column"),
+    ("descriptive >= 2", 0.20, "multiple descriptive attributes"),
+    ("row_count <= largest * 0.5", 0.15, "smaller than the largest table"),
+    ("has_entity", 0.15, "entity-oriented columns"),
+    ("entity_role IN ('customer', 'category', 'supplier', 'region')", 0.10,
+     "table/file name suggests reference data"),
+)
+
+
+def rule_score(rules) -> str:
+    return "(" + " + ".join(f"CASE WHEN {test} THEN {points} ELSE 0 END" for test, points, _ in rules) + ")::DOUBLE"
+
+
+def rule_reasons(rules) -> str:
+    return "concat_ws('; ', " + ", ".join(f"CASE WHEN {test} THEN '{text}' END" for test, _, text in rules) + ")"
+
+
+TWINS["table_roles"] = f"""
+WITH p AS ({TWINS['column_profile']}),
+named AS (
+  SELECT * FROM (VALUES ('lineitem', true, true, 'order_line'), ('orders', true, true, 'order_header'),
+    ('customer', false, true, 'customer'), ('part', false, true, 'category'),
+    ('supplier', false, false, 'supplier'), ('nation', false, false, 'unknown'),
+    ('region', false, false, 'region')) v(table_id, has_order, has_entity, entity_role)
+),
+t AS (
+  SELECT table_id, max(row_count) AS row_count, count(*) AS column_count,
+         count(*) FILTER (WHERE semantic_type = 'numeric_measure') AS measures,
+         count(*) FILTER (WHERE semantic_type = 'date') AS dates,
+         count(*) FILTER (WHERE is_key_like AND unique_rate >= 0.98 AND null_rate <= 0.05) AS unique_keys,
+         count(*) FILTER (WHERE is_key_like AND unique_rate < 0.95) AS repeated_keys,
+         count(*) FILTER (WHERE semantic_type = 'text' AND NOT is_key_like AND NOT is_measure_like) AS descriptive
+  FROM p GROUP BY table_id
+),
+z AS (SELECT max(row_count) AS largest, median(row_count) AS middle FROM t),
+s AS (
+  SELECT *, round({rule_score(FACT_RULES)}, 3) AS fact_score, round({rule_score(DIMENSION_RULES)}, 3) AS dimension_score,
+         {rule_reasons(FACT_RULES)} AS fact_reasons, {rule_reasons(DIMENSION_RULES)} AS dimension_reasons
+  FROM t JOIN named USING (table_id), z
+),
+g AS (
+  SELECT *, CASE WHEN fact_score >= 0.5 AND round(fact_score - dimension_score, 3) >= 0.1 THEN 'fact'
+                 WHEN dimension_score >= 0.4 AND round(dimension_score - fact_score, 3) >= 0.05 THEN 'dimension'
+                 ELSE 'unknown' END AS role_guess FROM s
+)
+SELECT table_id, row_count, column_count, entity_role, role_guess,
+       round(CASE role_guess WHEN 'fact' THEN least(1.0, 0.55 + fact_score - dimension_score)
+                  WHEN 'dimension' THEN least(1.0, 0.55 + dimension_score - fact_score)
+                  ELSE greatest(0.2, 0.5 - abs(fact_score - dimension_score)) END, 3)::DOUBLE AS role_confidence,
+       CASE role_guess WHEN 'fact' THEN fact_reasons ELSE dimension_reasons END AS role_evidence,
+       fact_score, dimension_score FROM g"""
 TWINS["recommended_fact_table"] = "SELECT 'lineitem' AS table_id"
 
 
