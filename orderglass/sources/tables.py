@@ -60,33 +60,45 @@ def _csv_reader(spark: SparkSession, path: str, encoding: str, delimiter: str |
     )
 
 
+def _table_format(spark: SparkSession, path: str, file_format: str | None) -> str:
+    """``csv`` or ``parquet``: as given, else by the suffix; a folder without one is read as CSV."""
+    if not path_exists(spark, path):
+        raise FileNotFoundError(f"Could not find the table: {path}")
+    suffix = PurePosixPath(path.rstrip("/")).suffix.lower().lstrip(".")
+    found = (file_format or {"txt": "csv", "tsv": "csv", "": "csv"}.get(suffix, suffix)).lower()
+    if found not in ("csv", "parquet"):
+        raise ValueError(f"Unsupported table {path!r}. Supported formats: CSV and parquet.")
+    return found
+
+
 def read_table(
-    spark: SparkSession, path: str, encoding: str = "UTF-8", delimiter: str | None = None, multi_line: bool = False
+    spark: SparkSession, path: str, encoding: str = "UTF-8", delimiter: str | None = None, multi_line: bool = False,
+    file_format: str | None = None,
 ) -> DataFrame:
     """A parquet table as it is, or a CSV table with all columns as text and missing-cell texts as null."""
-    if not path_exists(spark, path):
-        raise FileNotFoundError(f"Could not find the table: {path}")
-    suffix = PurePosixPath(path.rstrip("/")).suffix.lower()
-    if suffix == ".parquet":
+    if _table_format(spark, path, file_format) == "parquet":
         return spark.read.parquet(path)
-    if suffix not in (".csv", ".txt", ".tsv", ""):
-        raise ValueError(f"Unsupported table {path!r}. Supported formats: CSV and parquet.")
     return drop_missing_texts(_csv_reader(spark, path, encoding, delimiter, multi_line).csv(path))
 
 
 def with_row_numbers(
-    spark: SparkSession, path: str, encoding: str = "UTF-8", delimiter: str | None = None, multi_line: bool = False
+    spark: SparkSession, path: str, encoding: str = "UTF-8", delimiter: str | None = None, multi_line: bool = False,
+    file_format: str | None = None,
 ) -> DataFrame:
     """A table plus ``source_row_number``: the position over all its files in path order, header = line 1.
 
+    A table that already carries the column keeps it.
+
     No global sort and no single task over the rows. Parquet rows already know their position in the file; CSV
     rows are staged once with the block they came from. Only the row counts per file or block are summed up in
     order, and those are as few as there are blocks.
     """
-    if not path_exists(spark, path):
-        raise FileNotFoundError(f"Could not find the table: {path}")
-    if PurePosixPath(path.rstrip("/")).suffix.lower() == ".parquet":
-        rows = spark.read.parquet(path).select(
+    kind = _table_format(spark, path, file_format)
+    plain = read_table(spark, path, encoding, delimiter, multi_line, kind)
+    if "source_row_number" in plain.columns:
+        return plain
+    if kind == "parquet":
+        rows = plain.select(
             "*", F.col("_metadata.file_path").alias("_file"), F.lit(0).cast("bigint").alias("_block"),
             F.col("_metadata.row_index").alias("_spot"),
         )
@@ -103,8 +115,7 @@ def with_row_numbers(
     offsets = blocks.select("_file", "_block", "_first", before.alias("_before"))
     number = F.col("_before") + F.col("_spot") - F.col("_first") + FIRST_ROW_NUMBER
     numbered = rows.join(offsets, ["_file", "_block"]).withColumn("source_row_number", number)
-    kept = [name for name in rows.columns if name not in ("_file", "_block", "_spot", "source_row_number")]
-    return numbered.select("source_row_number", *map(quoted, kept))
+    return numbered.select("source_row_number", *map(quoted, plain.columns))
 
 
 def unique_table_id(name: str, used: set[str]) -> str:
