@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,20 +26,14 @@ def get_session(app_name: str = "orderglass", master: str | None = None, **conf:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder for durable intermediates: the cluster's ``spark.checkpoint.dir``.
+    """Folder for durable intermediates: the session's ``spark.checkpoint.dir``.
 
-    A local master may fall back to a fresh temporary folder. A cluster may not, because its executors
-    do not share one.
+    Where that is unset, a folder in the warehouse, which a cluster's driver and executors share as well.
     """
     context = spark.sparkContext
     folder = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    folder = folder or context.getCheckpointDir()
-    if folder:
-        return folder
-    if not context.master.startswith("local"):
-        raise RuntimeError("Set spark.checkpoint.dir to a folder that every executor can reach.")
-    context.setCheckpointDir(tempfile.mkdtemp(prefix="orderglass-"))
-    return context.getCheckpointDir()
+    folder = folder or context.getCheckpointDir() or f"{spark.conf.get('spark.sql.warehouse.dir')}/stages"
+    return folder.rstrip("/")
 
 
 def stage(df: DataFrame, name: str = "stage") -> DataFrame:
@@ -50,6 +43,6 @@ def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     pruning and filter pushdown, which a row-format checkpoint would not give them.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/orderglass/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/orderglass/{name}-{uuid.uuid4().hex}"
     df.write.mode("errorifexists").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
