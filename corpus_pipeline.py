@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from orderglass.llm.common import table
 from orderglass.llm.exact_dedup import drop_exact_copies
+from orderglass.llm.mixing import mixed_rows
+from orderglass.llm.near_dedup import drop_near_copies
+from orderglass.llm.packing import pack_documents
 from orderglass.llm.quality import drop_low_quality
 from orderglass.session import stage
 
@@ -20,7 +24,25 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return drop_exact_copies(docs)
 
 
-STAGES = [("quality_rules", quality_rules), ("exact_dedup", exact_dedup)]
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies, on five-word shingles."""
+    return drop_near_copies(docs, shingle=5)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix of the sources takes them."""
+    return mixed_rows(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents with their sequences."""
+    return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES = [
+    ("quality_rules", quality_rules), ("exact_dedup", exact_dedup), ("near_dedup", near_dedup),
+    ("mix_sources", mix_sources), ("pack", pack),
+]
 
 #: Near-duplicate search, mixing and packing are beyond SQL; the tests compare with a brute-force version.
 ORACLE_SQL = None

@@ -6,14 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orderglass.llm import exact_dedup, html_text, language_id, license_scan, mixing, packing, quality, url_filter
+from orderglass.llm import (
+    exact_dedup, html_text, language_id, license_scan, mixing, near_dedup, packing, quality, substring_dedup, url_filter,
+)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_substring_dedup": substring_dedup.op1_substring_dedup,
         "op2_license_scan": license_scan.op2_license_scan,
         "op3_html_text": html_text.op3_html_text,
         "op4_quality_rules": quality.op4_quality_rules,
+        "op5_near_dedup": near_dedup.op5_near_dedup,
         "op6_best_fit_packing": packing.op6_best_fit_packing,
         "op7_mix_sources": mixing.op7_mix_sources,
         "op8_url_filter": url_filter.op8_url_filter,
