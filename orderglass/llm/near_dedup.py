@@ -5,10 +5,11 @@ the first shuffles a set once, the second, shifted circularly by k, is the k-th
 find candidates; every link is confirmed on the full sets.
 
 Documents with equal sets are one class, so copies are merged before anything else. Classes that share a
-band are first compared with the smallest class of that band only, which links large groups in linear work.
-What is then still in different components and shares a band is compared pair by pair: no link between
+band are first compared with the smallest class of that band only, which is linear work. The pairs whose
+signatures leave a link possible make families; what is still apart within a family is compared exactly, in
+blocks of bounded size, and what shares a band across families is compared pair by pair. So no link between
 components can be lost except by banding, which misses a pair at the threshold with probability
-(1 - 0.8^5)^40, about 1e-7. Signatures discard candidates far below the threshold before sets are read.
+(1 - 0.8^5)^40, about 1e-7, or by signatures, which are 6 deviations away there.
 
 Defined cases: null and blank texts have n_shingles 0, no links, and are their own component; rows that
 repeat a doc_id are judged each by their text and stay or go together in ``drop_near_copies``; a row without
@@ -34,6 +35,8 @@ BANDS, ROWS = 40, 5
 #: Equal coordinates of two signatures (8 bits each) below which a pair is no candidate: 6.5 deviations.
 SIGNATURE_SHARE = 0.6
 _REMEMBERED = 500_000
+#: Full sets that are compared at once, in bytes.
+BLOCK_BYTES = 1_500_000
 
 
 class _Shingler:
@@ -177,6 +180,57 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(one, "a").join(other, "b").select("a", "b", "x", "y").mapInArrow(verify, "a binary, b binary")
 
 
+def _family_links(families: DataFrame, roots: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) that join the components of each family: exact, on full sets, block against block.
+
+    A family is cut into blocks of about BLOCK_BYTES; every pair of blocks is one group of bounded size. Of the
+    links between two components a group returns one, so the result grows with the members, not their pairs.
+    """
+    named = families.join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
+    known = stage(named.join(sets, "class").select("family", "class", "root", "shingles"), "near-families")
+    sizes = known.groupBy("family").agg(F.sum(F.length("shingles")).alias("bytes"), F.min("root").alias("r"), F.max("root").alias("s"))
+    parts = sizes.filter(F.col("r") != F.col("s")).select("family", F.ceil(F.col("bytes") / BLOCK_BYTES).cast("int").alias("blocks"))
+    rows = known.join(parts, "family").withColumn("own", F.pmod(F.xxhash64("class"), "blocks").cast("int"))
+    each = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    group = ["family", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high")]
+
+    def compare(block: pa.Table) -> pa.Table:
+        own = block.column("own").to_numpy()
+        classes, tops = block.column("class").to_pylist(), block.column("root").to_pylist()
+        sets_ = [np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in block.column("shingles")]
+        lengths = np.array([len(v) for v in sets_])
+        holder = np.repeat(np.arange(len(sets_)), lengths)
+        _, entry = np.unique(np.concatenate(sets_), return_inverse=True)
+        by_entry = holder[np.argsort(entry, kind="stable")]
+        starts = np.concatenate([[0], np.cumsum(np.bincount(entry))])
+        places = np.concatenate([[0], np.cumsum(lengths)])
+        above = {t: t for t in tops}
+
+        def top(t: bytes) -> bytes:
+            while above[t] != t:
+                above[t] = t = above[above[t]]
+            return t
+
+        one, two = [], []
+        cross = len(np.unique(own)) > 1
+        for i in range(len(sets_)):
+            mine = entry[places[i] : places[i + 1]]
+            common = np.bincount(np.concatenate([by_entry[starts[e] : starts[e + 1]] for e in mine]), minlength=len(sets_))
+            linked = 100 * common >= 80 * (lengths[i] + lengths - common)
+            linked[: i + 1] = False
+            if cross:
+                linked &= own != own[i]
+            for j in np.flatnonzero(linked):
+                x, y = top(tops[i]), top(tops[j])
+                if x != y:
+                    above[max(x, y)] = min(x, y)
+                    one.append(classes[i])
+                    two.append(classes[j])
+        return pa.table({"a": pa.array(one, pa.binary()), "b": pa.array(two, pa.binary())})
+
+    return each.select(*group, "own", "class", "root", "shingles").groupBy("family", "low", "high").applyInArrow(compare, "a binary, b binary")
+
+
 def near_links(docs: DataFrame, rows: DataFrame, shingle: int) -> DataFrame:
     """(node, root) of the classes that are linked with another class."""
     classes = stage(
@@ -198,13 +252,18 @@ def near_links(docs: DataFrame, rows: DataFrame, shingle: int) -> DataFrame:
     sets = sets_of(candidates)
     links = stage(_confirmed(candidates, sets), "near-links")
     roots = connected_components(links)
-    # Members of a band that are still apart: one row per class and component, compared across components.
-    placed = members.join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
-    kinds = placed.groupBy("band", "key").agg(F.min("root").alias("r"), F.max("root").alias("s")).filter(F.col("r") != F.col("s"))
-    apart = stage(placed.join(kinds.select("band", "key"), ["band", "key"]).select("band", "key", "class", "root", "n_shingles"), "near-apart")
+    # Families: classes whose signatures leave a link possible, directly or through others.
+    families = connected_components(candidates).select(F.col("node").alias("class"), F.col("root").alias("family"))
+    inside = stage(_family_links(families, roots, sets), "near-links")
+    links = links.unionAll(inside)
+    roots = connected_components(links)
+    # Members of one band that are in different families have no such chain: compared pair by pair.
+    placed = members.join(families, "class", "left").withColumn("family", F.coalesce("family", "class"))
+    kinds = placed.groupBy("band", "key").agg(F.min("family").alias("r"), F.max("family").alias("s")).filter(F.col("r") != F.col("s"))
+    apart = stage(placed.join(kinds.select("band", "key"), ["band", "key"]).select("band", "key", "class", "family", "n_shingles"), "near-apart")
     left, right = apart.alias("l"), apart.alias("r")
     rest = left.join(right, (F.col("l.band") == F.col("r.band")) & (F.col("l.key") == F.col("r.key")) & (F.col("l.class") < F.col("r.class"))
-                     & (F.col("l.root") != F.col("r.root")) & (100 * F.least("l.n_shingles", "r.n_shingles") >= 80 * F.greatest("l.n_shingles", "r.n_shingles")))
+                     & (F.col("l.family") != F.col("r.family")) & (100 * F.least("l.n_shingles", "r.n_shingles") >= 80 * F.greatest("l.n_shingles", "r.n_shingles")))
     pairs = rest.select(F.col("l.class").alias("a"), F.col("r.class").alias("b")).distinct().join(candidates, ["a", "b"], "left_anti")
     more = stage(_alike(pairs, marks), "near-more")
     if not more.limit(1).count():
