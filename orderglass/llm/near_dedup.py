@@ -9,7 +9,7 @@ band are first compared with the smallest class of that band only, which is line
 signatures leave a link possible make families; what is still apart within a family is compared exactly, in
 blocks of bounded size, and what shares a band across families is compared pair by pair. So no link between
 components can be lost except by banding, which misses a pair at the threshold with probability
-(1 - 0.8^5)^40, about 1e-7, or by signatures, which are 6 deviations away there.
+(1 - 0.8^7)^64, about 3e-7, or by signatures, which are 7 deviations away there.
 
 Defined cases: null and blank texts have n_shingles 0, no links, and are their own component; rows that
 repeat a doc_id are judged each by their text and stay or go together in ``drop_near_copies``; a row without
@@ -31,9 +31,10 @@ from orderglass.llm.common import table
 from orderglass.llm.components import connected_components
 from orderglass.session import stage
 
-BANDS, ROWS = 40, 5
-#: Equal coordinates of two signatures (8 bits each) below which a pair is no candidate: 6.5 deviations.
-SIGNATURE_SHARE = 0.6
+BANDS, ROWS = 64, 7
+#: Coordinates, of 8 bits each, that two classes are compared by, and the equal share below which they are no
+#: candidates: 7 deviations below the expected share at the threshold.
+COMPARED, SIGNATURE_SHARE = 200, 0.6
 _REMEMBERED = 500_000
 #: Full sets that are compared at once, in bytes.
 BLOCK_BYTES = 1_500_000
@@ -103,7 +104,7 @@ def _sketched(docs: DataFrame, shingle: int) -> DataFrame:
                 keys = np.zeros((len(full), BANDS), dtype=np.uint64)
                 for r in range(ROWS):
                     keys = _mix64(keys + found.reshape(len(full), BANDS, ROWS)[:, :, r] + np.uint64(r))
-                for i, key, mark in zip(full, keys.view(np.int64), found.astype(np.uint8), strict=True):
+                for i, key, mark in zip(full, keys.view(np.int64), found[:, :COMPARED].astype(np.uint8), strict=True):
                     bands[i], marks[i] = key, mark.tobytes()
             classes = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
             columns = [ids, [len(s) for s in sets], classes, bands, marks]
