@@ -35,6 +35,8 @@ BANDS, ROWS = 64, 7
 #: Coordinates, of 8 bits each, that two classes are compared by, and the equal share below which they are no
 #: candidates: 7 deviations below the expected share at the threshold.
 COMPARED, SIGNATURE_SHARE = 200, 0.6
+#: Single bits of 256 coordinates, as four longs: a pair at the threshold differs in 26 of them, with deviation 5.
+BIT_WORDS, DIFFERENT_BITS = 4, 56
 _REMEMBERED = 500_000
 #: Full sets that are compared at once, in bytes.
 BLOCK_BYTES = 1_500_000
@@ -90,7 +92,7 @@ def signatures(sets: list[np.ndarray], coordinates: int) -> np.ndarray:
 
 def _sketched(docs: DataFrame, shingle: int) -> DataFrame:
     """doc_id, n_shingles, class (digest of the set), bands and a signature of 8 bits per coordinate."""
-    kind = "doc_id long, n_shingles long, class binary, bands array<long>, signature binary"
+    kind = "doc_id long, n_shingles long, class binary, bands array<long>, signature binary, bits array<long>"
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = _Shingler(shingle)
@@ -99,17 +101,21 @@ def _sketched(docs: DataFrame, shingle: int) -> DataFrame:
             full = [i for i, s in enumerate(sets) if len(s)]
             bands: list = [None] * len(sets)
             marks: list = [None] * len(sets)
+            bits: list = [None] * len(sets)
             if full:
                 found = signatures([sets[i] for i in full], BANDS * ROWS)
                 keys = np.zeros((len(full), BANDS), dtype=np.uint64)
                 for r in range(ROWS):
                     keys = _mix64(keys + found.reshape(len(full), BANDS, ROWS)[:, :, r] + np.uint64(r))
+                single = np.packbits((found[:, : 64 * BIT_WORDS] >> 9) & 1, axis=1).view(np.int64)
+                for i, row in zip(full, single, strict=True):
+                    bits[i] = row
                 for i, key, mark in zip(full, keys.view(np.int64), found[:, :COMPARED].astype(np.uint8), strict=True):
                     bands[i], marks[i] = key, mark.tobytes()
             classes = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
-            columns = [ids, [len(s) for s in sets], classes, bands, marks]
-            kinds = [pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.binary()]
-            names = ["doc_id", "n_shingles", "class", "bands", "signature"]
+            columns = [ids, [len(s) for s in sets], classes, bands, marks, bits]
+            kinds = [pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.int64())]
+            names = ["doc_id", "n_shingles", "class", "bands", "signature", "bits"]
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
         for batch in batches:
@@ -236,7 +242,8 @@ def near_links(docs: DataFrame, rows: DataFrame, shingle: int) -> DataFrame:
     """(node, root) of the classes that are linked with another class."""
     classes = stage(
         rows.filter("class is not null").groupBy("class").agg(
-            F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("signature").alias("signature")
+            F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("signature").alias("signature"),
+            F.first("bits").alias("bits"),
         ), "near-classes",
     )
     marks = classes.select("class", "n_shingles", "signature")
@@ -261,10 +268,13 @@ def near_links(docs: DataFrame, rows: DataFrame, shingle: int) -> DataFrame:
     # Members of one band that are in different families have no such chain: compared pair by pair.
     placed = members.join(families, "class", "left").withColumn("family", F.coalesce("family", "class"))
     kinds = placed.groupBy("band", "key").agg(F.min("family").alias("r"), F.max("family").alias("s")).filter(F.col("r") != F.col("s"))
-    apart = stage(placed.join(kinds.select("band", "key"), ["band", "key"]).select("band", "key", "class", "family", "n_shingles"), "near-apart")
+    apart = stage(placed.join(kinds.select("band", "key"), ["band", "key"]).select("band", "key", "class", "family", "n_shingles")
+                  .join(classes.select("class", "bits"), "class"), "near-apart")
     left, right = apart.alias("l"), apart.alias("r")
+    different = sum((F.bit_count(F.get("l.bits", F.lit(i)).bitwiseXOR(F.get("r.bits", F.lit(i)))) for i in range(BIT_WORDS)), F.lit(0))
     rest = left.join(right, (F.col("l.band") == F.col("r.band")) & (F.col("l.key") == F.col("r.key")) & (F.col("l.class") < F.col("r.class"))
-                     & (F.col("l.family") != F.col("r.family")) & (100 * F.least("l.n_shingles", "r.n_shingles") >= 80 * F.greatest("l.n_shingles", "r.n_shingles")))
+                     & (F.col("l.family") != F.col("r.family")) & (100 * F.least("l.n_shingles", "r.n_shingles") >= 80 * F.greatest("l.n_shingles", "r.n_shingles"))
+                     & (different <= DIFFERENT_BITS))
     pairs = rest.select(F.col("l.class").alias("a"), F.col("r.class").alias("b")).distinct().join(candidates, ["a", "b"], "left_anti")
     more = stage(_alike(pairs, marks), "near-more")
     if not more.limit(1).count():
