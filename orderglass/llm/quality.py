@@ -11,6 +11,8 @@ ratio is 0 and only the base rules decide; an empty table gives no rows; other c
 
 from __future__ import annotations
 
+from math import log
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +22,7 @@ BUCKETS = 1 << 14
 #: Trusted documents that the target multinomial is fitted on, at most; the raw one covers the corpus.
 TRUSTED_ROWS = 20_000
 THRESHOLD = -0.12
+PRIOR = 10
 WINDOW = 8
 SYMBOLS = "#*$%&|<>"
 BLANKS = " \t\n\x0b\x0c\r"
@@ -43,7 +46,7 @@ def _features(hashes: Column, pairs: Column) -> Column:
 
 
 def bucket_weights(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, trusted_rows: int = TRUSTED_ROWS) -> list[float]:
-    """Log ratio per bucket, with add-one smoothing; raw counts cover every document."""
+    """Log ratio per bucket, raw counts cover every document."""
     trusted = (
         labels.filter((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0) & F.col("doc_id").isNotNull())
         .select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(trusted_rows)
@@ -56,21 +59,21 @@ def bucket_weights(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, t
         .groupBy(F.pmod("h", F.lit(buckets)).cast("int").alias("bucket"))
         .agg(F.count("*").alias("raw"), F.count("is_trusted").alias("trusted"))
     )
-    raw, target = F.col("raw") + 1, F.col("trusted") + 1
-    rows = counts.select("bucket", raw.alias("raw"), target.alias("target")).collect()  # at most ``buckets`` rows
-    if not any(row.target > 1 for row in rows):
-        return [0.0] * buckets
+    rows = counts.collect()  # at most ``buckets`` rows
     return _log_ratios(rows, buckets)
 
 
 def _log_ratios(rows: list, buckets: int) -> list[float]:
-    from math import log
-
-    raw, target = [1] * buckets, [1] * buckets
-    for row in rows:
-        raw[row.bucket], target[row.bucket] = row.raw, row.target
-    shift = log(sum(raw)) - log(sum(target))
-    return [log(t) - log(r) + shift for t, r in zip(target, raw, strict=True)]
+    """log of trusted counts over those expected from the raw corpus, both raised by PRIOR.
+
+    The prior keeps buckets with little evidence near 0, as most are in a small corpus.
+    """
+    share = sum(row["trusted"] for row in rows) / max(1, sum(row["raw"] for row in rows))
+    found = [0.0] * buckets
+    if share:
+        for row in rows:
+            found[row["bucket"]] = log((row["trusted"] + PRIOR) / (row["raw"] * share + PRIOR))
+    return found
 
 
 def _weight_literal(weights: list[float]) -> Column:
