@@ -8,8 +8,7 @@ from pyspark.sql import types as T
 
 from orderglass.functions.text import as_text, trimmed
 
-# At most 200 digits and a two-digit exponent: such a text can never overflow into infinity.
-NUMBER_PATTERN = r"^[+-]?([0-9]{1,200}\.?[0-9]{0,200}|\.[0-9]{1,200})([eE][+-]?[0-9]{1,2})?$"
+NUMBER_PATTERN = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 MONEY = T.DecimalType(38, 6)
 
 
@@ -28,7 +27,7 @@ def strict_number(column: Column, data_type: T.DataType | None = None) -> Column
     if isinstance(data_type, T.NumericType):
         return column.cast("double")
     text = trimmed(column)
-    return F.when(text.rlike(NUMBER_PATTERN), text).try_cast("double")
+    return finite(F.when(text.rlike(NUMBER_PATTERN), text).try_cast("double"))
 
 
 def lenient_number(column: Column, data_type: T.DataType | None = None, percentage: bool = False) -> Column:
@@ -42,8 +41,7 @@ def lenient_number(column: Column, data_type: T.DataType | None = None, percenta
     signed = F.regexp_replace(text, r"^\([^0-9+\-.]*[+-]?(.*)\)$", "-$1")
     digits = F.regexp_replace(signed, r"[^0-9+\-.]", "")
     # Only digits, signs and dots are left here, so the cast accepts nothing but plain numbers.
-    short = F.when(F.length(digits) <= 200, digits)
-    value = F.when(text.rlike(NUMBER_PATTERN), text).otherwise(short).try_cast("double")
+    value = finite(F.when(text.rlike(NUMBER_PATTERN), text).otherwise(digits).try_cast("double"))
     if percentage:
         value = value / F.when(F.contains(text, F.lit("%")), 100.0).otherwise(1.0)
     return value
@@ -64,12 +62,19 @@ def exact_sum(column: Column) -> Column:
 
     Whole units and millionths are summed as two longs, so the aggregate keeps fixed-width hash buffers
     (a DECIMAL buffer is several times slower) while two tasks that add the same rows in another order
-    still agree to the last digit. Reconciliation at any size relies on that.
+    still agree to the last digit. Reconciliation at any size relies on that. Values of a trillion and more are
+    summed as decimals of their own; what a DECIMAL(38, 6) cannot hold makes the sum null instead of an error.
     """
-    whole = F.floor(column)
-    millionths = F.rint((column - whole) * 1_000_000).cast("bigint")
+    column = column.cast("double")
+    large = F.abs(column) >= 1e12
+    usual = F.when(~large, column)
+    whole = F.floor(usual)
+    millionths = F.rint((usual - whole) * 1_000_000).cast("bigint")
+    beyond = F.try_sum(F.when(large, column.try_cast(MONEY)))
+    lost = F.count_if(large) != F.count(F.when(large, column.try_cast(MONEY)))
     total = F.sum(whole).cast("decimal(20,0)") + F.sum(millionths).cast("decimal(20,0)") * F.expr("0.000001BD")
-    return F.coalesce(total, F.lit(0)).cast(MONEY)
+    some = F.count_if(large) > 0
+    return F.when(~some, F.coalesce(total, F.lit(0)).cast(MONEY)).when(~lost, (F.coalesce(total, F.lit(0)) + beyond).try_cast(MONEY))
 
 
 def money_total(column: Column) -> Column:

@@ -50,14 +50,36 @@ def drop_missing_texts(df: DataFrame) -> DataFrame:
     ])
 
 
+def _units(amount: Column, digits: int) -> Column:
+    """A value >= 0 in units of its last shown digit: half to even on the exact binary value."""
+    scale, bits = 10**digits, 50
+    whole = F.floor(amount)
+    part = (amount - whole) * float(1 << bits)  # exact: only the exponent changes
+    places = F.floor(part)
+    scaled = places * scale
+    units = F.shiftright(scaled, bits)
+    rest = scaled - F.shiftleft(units, bits)
+    units = whole * scale + units
+    half = 1 << (bits - 1)
+    above = (rest > half) | ((rest == half) & ((part > places) | (units % 2 == 1)))
+    return units + F.when(above, 1).otherwise(0)
+
+
 def money_text(column: Column) -> Column:
     """``$1,234.50``; negative amounts as ``-$1,234.50``."""
     amount = column.cast("double")
-    return F.concat(F.when(amount < 0, "-$").otherwise("$"), F.format_string("%,.2f", F.abs(amount)))
+    units = _units(F.abs(amount), 2)
+    return F.concat(
+        F.when(amount < 0, "-$").otherwise("$"), F.format_string("%,d.%02d", F.floor(units / 100), units % 100)
+    )
 
 
 def percent_text(column: Column) -> Column:
-    return F.format_string("%.1f%%", column.cast("double") * 100)
+    """``12.5%`` for 0.125."""
+    share = column.cast("double") * 100
+    units = _units(F.abs(share), 1)
+    sign = F.when(share < 0, "-").otherwise("")
+    return F.concat(sign, F.format_string("%d.%d%%", F.floor(units / 10), units % 10))
 
 
 def month_text(year_month: Column) -> Column:

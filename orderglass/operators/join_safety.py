@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from orderglass.functions.keys import LEADING_ZERO, join_key_columns, numeric_key, text_key
-from orderglass.functions.text import quoted
+from orderglass.functions.text import percent_text, quoted
 
 # Fixed value: an order-line table must find at least this share of its rows in the order table.
 MINIMUM_LINE_TO_HEADER_MATCH = 0.20
@@ -69,7 +69,7 @@ def _share(part: Column, whole: Column) -> Column:
 
 
 def _percent(rate: Column) -> Column:
-    return F.format_string("%.1f%%", rate * 100)
+    return percent_text(rate)
 
 
 def with_verdicts(measured: DataFrame, fact_to_fact: Column, line_to_header: Column, format_warnings: Column) -> DataFrame:

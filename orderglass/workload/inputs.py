@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from orderglass.operators.finance import prepare_expenses
 from orderglass.operators.revenue import add_revenue
-from orderglass.sources.tables import spread
+from orderglass.sources.tables import spread, with_row_numbers
 
 # Neither brand, part name nor customer name is a number in these tables, so no query needs to test that
 # again; ``enriched_orders`` runs the test itself.
@@ -21,9 +21,7 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 def numbered_lines(spark: SparkSession, folder: str) -> DataFrame:
     """Line items with their original position: header line 1, first row 2."""
-    return spread(table(spark, folder, "lineitem").select(
-        "*", (F.col("_metadata.row_index") + 2).alias("source_row_number")
-    ))
+    return spread(with_row_numbers(spark, f"{folder}/lineitem.parquet", file_format="parquet"))
 
 
 def order_rows(

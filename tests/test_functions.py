@@ -94,3 +94,24 @@ def test_keys(spark):
     assert found[0] == found[1] == found[2] == "1000" and found[3] == "7"
     assert found[4] == found[5] and found[6] == "12345678901234567" and found[7] is None
     assert values(spark, ["01/05/2026", "2026-01-05 10:00"], lambda c: canonical_key(c, "date")) == ["2026-01-05"] * 2
+
+
+def test_texts_round_half_to_even_on_the_exact_value(spark):
+    from orderglass.functions.text import money_text, percent_text
+
+    values = [0.3125, 0.3375, -0.0625, 0.0, 1.0, 0.12345, 1e-9, 12.00049]
+    amounts = [318334.095, 1326389.17, -0.125, 0.375, 2.675, 0.0, 1234567890.005, -12.0]
+    rows = spark.createDataFrame(list(zip(values, amounts, strict=True)), "v double, a double")
+    found = rows.select(percent_text(rows.v).alias("p"), money_text(rows.a).alias("m")).collect()
+    assert [r["p"] for r in found] == [f"{v * 100:.1f}%" for v in values]
+    assert [r["m"] for r in found] == [("-" if a < 0 else "") + f"${abs(a):,.2f}" for a in amounts]
+
+
+def test_sum_survives_absurd_values(spark):
+    from orderglass.functions.numbers import exact_sum, strict_number
+
+    rows = spark.createDataFrame([(1e19,), (0.25,), (None,)], "x double")
+    assert float(rows.agg(exact_sum(rows.x).alias("s")).head()["s"]) == 1e19
+    assert rows.unionAll(spark.createDataFrame([(1e60,)], "x double")).agg(exact_sum(F.col("x")).alias("s")).head()["s"] is None
+    texts = spark.createDataFrame([("1e120",), ("1e999",), ("9" * 250,)], "t string")
+    assert [r[0] for r in texts.select(strict_number(texts.t)).collect()] == [1e120, None, 1e250]
