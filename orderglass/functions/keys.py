@@ -45,13 +45,15 @@ def text_key(column: Column, unicode_text: bool = False) -> Column:
 
 
 def numeric_key(column: Column, unicode_text: bool = False) -> Column:
-    """Whole numbers digit by digit, other numbers to 15 significant digits; commas are dropped."""
+    """Whole numbers of any length digit by digit, other numbers to 15 significant digits; commas are dropped."""
     text = F.replace(text_key(column, unicode_text), F.lit(","), F.lit(""))
-    whole = F.when(text.rlike(r"^[+-]?[0-9]{1,38}(\.0*)?$"), text.try_cast("decimal(38,0)"))
+    digits = F.regexp_replace(text, r"^[+-]?0*([0-9]+?)(\.0*)?$", "$1")
+    minus = F.when(F.startswith(text, F.lit("-")) & (digits != "0"), "-").otherwise("")
+    whole = F.when(text.rlike(r"^[+-]?[0-9]+(\.0*)?$"), F.concat(minus, digits))
     number = strict_number(text)
     whole_double = F.when((number == F.floor(number)) & (F.abs(number) < 1e37), number.try_cast("decimal(38,0)"))
     rounded = F.when(text.rlike(NUMBER_PATTERN), F.format_string("%.14e", number))
-    return F.coalesce(whole.cast("string"), whole_double.cast("string"), rounded)
+    return F.coalesce(whole, whole_double.cast("string"), rounded)
 
 
 def canonical_key(

@@ -15,9 +15,6 @@ REPEATED_NOTE = (
     "Repeated order_id values may be normal for order-line-level data, but fully identical rows should be "
     "reviewed because they may duplicate revenue."
 )
-# An id on more rows than this gets its row numbers in several output rows, so that no single list grows
-# with the data.
-LIST_SIZE = 10_000
 
 
 def duplicate_groups(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -84,42 +81,30 @@ def duplicate_rows(enriched: DataFrame) -> DataFrame:
     )
 
 
-def repeated_order_ids(enriched: DataFrame, list_size: int = LIST_SIZE) -> DataFrame:
-    """Order ids on several rows: how often, on which source rows, and whether those rows are identical.
+def repeated_order_ids(enriched: DataFrame) -> DataFrame:
+    """Order ids on several rows, one row each: how often, and whether those rows are identical.
 
-    Row numbers are first collected per (id, stretch of ``list_size`` source rows), which bounds each list.
-    Ids with at most ``list_size`` rows then get one list. A hotter id keeps one output row per stretch,
-    numbered by ``list_part``; nothing is cut.
+    Rows are compared by a hash of fixed size first. Only ids whose hashes all agree are compared in full. Their
+    source rows are in :func:`repeated_order_id_rows`.
     """
-    columns = [name for name in enriched.columns if name != "source_row_number"]
-    stretch = F.floor(F.col("source_row_number") / list_size).alias("_stretch")
-    # min and max per column tell whether all rows agree, with one fixed-size state per id.
-    agreeing = [
-        ((F.count(quoted(name)) == 0) | (
-            (F.count(quoted(name)) == F.count(F.lit(1))) & (F.min(quoted(name)) == F.max(quoted(name)))
-        ))
-        for name in columns if name != "order_id"
-    ]
-    identical = agreeing[0]
-    for test in agreeing[1:]:
-        identical = identical & test
+    values = [quoted(name) for name in enriched.columns if name != "source_row_number"]
+    mark = F.xxhash64(*values, *[F.isnull(value) for value in values])
     totals = enriched.groupBy("order_id").agg(
-        F.count(F.lit(1)).alias("occurrence_count"), identical.alias("rows_are_fully_identical")
-    ).where("occurrence_count > 1")
-    lists = enriched.groupBy("order_id", stretch).agg(F.collect_list("source_row_number").alias("_rows"))
-    joined = lists.alias("l").join(
-        totals.alias("t"), F.col("l.order_id").eqNullSafe(F.col("t.order_id"))
-    ).select(F.col("t.*"), "_stretch", "_rows")
-    hot = F.col("occurrence_count") > list_size
-    merged = joined.groupBy(
-        "order_id", "occurrence_count", "rows_are_fully_identical",
-        F.when(hot, F.col("_stretch")).alias("list_part"),
-    ).agg(F.array_sort(F.flatten(F.collect_list("_rows"))).alias("_rows"))
-    return merged.select(
-        "order_id",
-        "occurrence_count",
-        F.array_join(F.transform("_rows", lambda n: n.cast("string")), ", ").alias("source_row_numbers"),
-        "rows_are_fully_identical",
+        F.count(F.lit(1)).alias("occurrence_count"), F.min(mark).alias("_low"), F.max(mark).alias("_high")
+    ).where("occurrence_count > 1").alias("t")
+    alike = totals.where("_low = _high").select(F.col("order_id").alias("_id"))
+    kinds = (
+        enriched.join(alike, F.col("order_id").eqNullSafe(F.col("_id")), "left_semi")
+        .groupBy(*values).agg(F.count(F.lit(1)).alias("_rows"))
+        .groupBy("order_id").agg(F.count(F.lit(1)).alias("_kinds")).withColumnRenamed("order_id", "_id")
+    )
+    return totals.join(kinds, F.col("order_id").eqNullSafe(F.col("_id")), "left").select(
+        "order_id", "occurrence_count", F.coalesce(F.col("_kinds") == 1, F.lit(False)).alias("rows_are_fully_identical"),
         F.lit(REPEATED_NOTE).alias("note"),
-        F.coalesce("list_part", F.lit(0)).cast("bigint").alias("list_part"),
     )
+
+
+def repeated_order_id_rows(enriched: DataFrame) -> DataFrame:
+    """``order_id, source_row_number`` of every row whose order id is on several rows."""
+    counts = enriched.groupBy(F.col("order_id").alias("_id")).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    return enriched.join(counts, F.col("order_id").eqNullSafe(F.col("_id")), "left_semi").select("order_id", "source_row_number")

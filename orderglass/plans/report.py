@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from orderglass.functions.numbers import MONEY
 from orderglass.operators.anomalies import ANOMALY_SCHEMA, detect_anomalies
-from orderglass.operators.duplicates import duplicate_rows, repeated_order_ids
+from orderglass.operators.duplicates import duplicate_rows, repeated_order_id_rows, repeated_order_ids
 from orderglass.operators.facts import headline_facts
 from orderglass.operators.finance import finance_tables
 from orderglass.operators.mapping import (
@@ -68,8 +68,8 @@ def order_report(
                 [], "duplicate_group_id bigint, source_row_number bigint, duplicate_group_count bigint, "
                 "duplicate_row_count bigint"),
             "repeated_order_id_detail": spark.createDataFrame(
-                [], "order_id string, occurrence_count bigint, source_row_numbers string, "
-                "rows_are_fully_identical boolean, note string"),
+                [], "order_id string, occurrence_count bigint, rows_are_fully_identical boolean, note string"),
+            "repeated_order_id_rows": spark.createDataFrame([], "order_id string, source_row_number bigint"),
             "anomalies": spark.createDataFrame([], ANOMALY_SCHEMA),
             **finance,
         }
@@ -83,6 +83,7 @@ def order_report(
         "enriched_orders": enriched,
         "duplicate_rows_detail": duplicate_rows(enriched),
         "repeated_order_id_detail": repeated_order_ids(enriched),
+        "repeated_order_id_rows": repeated_order_id_rows(enriched),
         "post_conversion_data_quality": post,
         "monthly_summary": monthly,
         "category_summary": category,

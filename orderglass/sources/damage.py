@@ -14,6 +14,8 @@ DAMAGED_SEQUENCES = (
     "Ã ", "Ã¡", "Ã©", "Ã­", "Ã³", "Ãº", "Â ", "ï¿½", "éÌ", "Æ·", "±à", "ºÅ", "éÆ·", "锟斤拷",
 )
 DAMAGE_THRESHOLD = 0.55
+# Fixed value: the absolute weights below belong to so many values.
+JUDGED_VALUES = 60
 REPLACEMENT = chr(0xFFFD)
 
 _CONTROL = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x9F]"
@@ -46,8 +48,14 @@ def damage_measures(text: Column) -> dict[str, Column]:
 
 
 def damage_score(counts_total: dict[str, Column]) -> Column:
-    """The weighted score, 0 to 1, from the summed counts."""
+    """The weighted score, 0 to 1, from the summed counts.
+
+    Suspicious characters, sequences and runs weigh by how many of them ``JUDGED_VALUES`` values hold on average, so
+    equally damaged tables score alike at any size; a smaller table is judged by its own values.
+    """
     n = F.greatest(counts_total["characters"], F.lit(1)).cast("double")
+    scale = F.lit(float(JUDGED_VALUES)) / F.greatest(counts_total["present"], F.lit(JUDGED_VALUES))
+    suspicious, sequences, runs = (counts_total[k] * scale for k in ("suspicious", "sequences", "runs"))
 
     def part(test: Column, value: Column, cap: float) -> Column:
         return F.when(test, F.least(F.lit(cap), value)).otherwise(0.0)
@@ -56,9 +64,9 @@ def damage_score(counts_total: dict[str, Column]) -> Column:
     score = (
         part(c["replacements"] > 0, c["replacements"] / n * 20.0, 1.0)
         + part(c["controls"] > 0, c["controls"] / n * 20.0, 0.8)
-        + part(c["suspicious"] >= 4, c["suspicious"] / n * 2.5, 0.65)
-        + part(c["sequences"] >= 2, c["sequences"] * 0.12, 0.7)
-        + part(c["runs"] >= 2, c["runs"] * 0.12, 0.5)
+        + part(suspicious >= 4, c["suspicious"] / n * 2.5, 0.65)
+        + part(sequences >= 2, sequences * 0.12, 0.7)
+        + part(runs >= 2, runs * 0.12, 0.5)
     )
     return F.round(F.least(F.lit(1.0), score), 4)
 
@@ -78,9 +86,9 @@ def text_damage(df: DataFrame, groups: tuple[str, ...] = ()) -> DataFrame:
             F.sum(sum((F.coalesce(measured[name][k], F.lit(0)) for name in texts), F.lit(0))), F.lit(0)
         )).alias(k)
         for k in keys
-    ])
-    score = damage_score({k: F.col(k) for k in keys})
-    return summed.withColumn("damage_score", score).withColumn("looks_damaged", F.col("damage_score") >= DAMAGE_THRESHOLD)
+    ], sum((F.count(quoted(name)) for name in texts), F.lit(0)).alias("present"))
+    score = damage_score({k: F.col(k) for k in (*keys, "present")})
+    return summed.withColumn("damage_score", score).drop("present").withColumn("looks_damaged", F.col("damage_score") >= DAMAGE_THRESHOLD)
 
 
 def require_readable(df: DataFrame, path: str = "") -> DataFrame:

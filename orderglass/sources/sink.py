@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame
 # The tables of every report, in reading order, and those a mapped report adds.
 REPORT_TABLES = (
     "report_status", "data_quality", "post_conversion_data_quality", "validation_report", "duplicate_rows_detail",
-    "repeated_order_id_detail", "enriched_orders", "monthly_summary", "category_summary", "customer_summary",
-    "top_products", "anomalies", "finance_status", "expense_post_conversion_quality", "finance_kpis",
+    "repeated_order_id_detail", "repeated_order_id_rows", "enriched_orders", "monthly_summary", "category_summary",
+    "customer_summary", "top_products", "anomalies", "finance_status", "expense_post_conversion_quality", "finance_kpis",
     "expenses_enriched", "cash_flow_summary", "expense_category_breakdown", "largest_expense_categories",
     "cash_flow_warnings",
 )

@@ -14,7 +14,6 @@ from orderglass.operators.revenue import EXPENSE_COLUMNS, ORDER_COLUMNS, missing
 from orderglass.session import stage
 
 DELIMITERS = (",", ";", "|", "\t")
-SNIFFED_LINES = 50
 FIRST_ROW_NUMBER = 2
 
 
@@ -36,17 +35,13 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def sniff_delimiter(spark: SparkSession, path: str, encoding: str = "UTF-8") -> str:
-    """The delimiter of a text table: a comma unless the header has none and another one splits it steadily.
-
-    Looks at the first lines only; this picks a reader option and never touches the data itself.
+    """The delimiter of a text table, from its header line alone: a comma if it has one, else the most frequent
+    of the others, else a comma. Pass ``delimiter`` where a header holds it in its names.
     """
-    lines = [
-        row[0] for row in spark.read.option("encoding", encoding).text(path).limit(SNIFFED_LINES).collect() if row[0]
-    ]
-    if not lines or "," in lines[0]:
+    header = spark.read.option("encoding", encoding).text(path).where("value <> ''").first()
+    if header is None or "," in header[0]:
         return ","
-    steady = {d: len({line.count(d) for line in lines}) for d in DELIMITERS if lines[0].count(d)}
-    return min(steady, key=lambda d: (steady[d], -lines[0].count(d))) if steady else ","
+    return max(DELIMITERS, key=header[0].count)
 
 
 def _csv_reader(spark: SparkSession, path: str, encoding: str, delimiter: str | None, multi_line: bool):

@@ -26,23 +26,17 @@ def numbered_lines(spark: SparkSession, folder: str) -> DataFrame:
 
 def order_rows(
     spark: SparkSession, folder: str, customer: bool = False, store: bool = False, numbered: bool = False,
-    header: bool = True,
 ) -> DataFrame:
-    """Line items as order rows in the standard schema.
-
-    Date and customer sit in the order table. A summary that needs neither passes ``header=False`` and saves the
-    join of the two largest tables; both columns are null then.
-    """
+    """Line items as order rows in the standard schema, with date and customer from the order table."""
     lines = numbered_lines(spark, folder) if numbered else spread(table(spark, folder, "lineitem"))
     part = table(spark, folder, "part").select("p_partkey", "p_name", "p_brand", "p_retailprice")
+    orders = table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     joined = lines.join(part, lines.l_partkey == part.p_partkey, "left")
-    if header:
-        orders = table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
-        joined = joined.join(orders, joined.l_orderkey == orders.o_orderkey, "left")
+    joined = joined.join(orders, joined.l_orderkey == orders.o_orderkey, "left")
     columns = {
         "order_id": F.col("l_orderkey"),
-        "date": F.col("o_orderdate") if header else F.lit(None).cast("timestamp_ntz"),
-        "customer_id": F.col("o_custkey") if header else F.lit(None).cast("bigint"),
+        "date": F.col("o_orderdate"),
+        "customer_id": F.col("o_custkey"),
         "product_id": F.col("l_partkey"),
         "product_name": F.col("p_name"),
         "category": F.col("p_brand"),

@@ -358,9 +358,11 @@ FROM loaded l JOIN groups g ON l.order_id = g.order_id AND l.product_id = g.prod
   AND l.quantity = g.quantity AND l.discount_rate = g.discount_rate AND l.flag IS NOT DISTINCT FROM g.flag"""
 TWINS["repeated_order_ids"] = REPEATED + """
 SELECT order_id, count(*) AS occurrence_count,
-       string_agg(source_row_number::VARCHAR, ', ' ORDER BY source_row_number) AS source_row_numbers,
        count(DISTINCT (product_id, quantity, discount_rate, coalesce(flag, '-'))) = 1 AS rows_are_fully_identical
 FROM loaded GROUP BY order_id HAVING count(*) > 1"""
+TWINS["repeated_order_id_rows"] = REPEATED + """
+SELECT order_id, source_row_number FROM loaded
+WHERE order_id IN (SELECT order_id FROM loaded GROUP BY order_id HAVING count(*) > 1)"""
 
 
 def dollars(expression: str) -> str:

@@ -461,7 +461,7 @@ SELECT * FROM (SELECT row_number() OVER () + 1 AS source_row_number, l_orderkey,
 WHERE l_orderkey % 10 <> 0"""
 TWINS["text_damage_score"] = r"""
 WITH t AS (
-  SELECT source,
+  SELECT source, 60.0 / greatest(count(text), 60) AS scale,
          sum(length(regexp_replace(text, '[ \t\n\r\x0B\f]', '', 'g'))) + 10 AS characters,
          sum(length(text) - length(replace(text, chr(65533), ''))) AS replacements,
          sum(length(regexp_replace(text, '[^\x{01}-\x{08}\x{0B}\x{0C}\x{0E}-\x{1F}\x{7F}-\x{9F}]', '', 'g'))) AS controls,
@@ -476,9 +476,9 @@ s AS (
   SELECT *, round(least(1.0,
       CASE WHEN replacements > 0 THEN least(1.0, replacements / characters * 20.0) ELSE 0 END
     + CASE WHEN controls > 0 THEN least(0.8, controls / characters * 20.0) ELSE 0 END
-    + CASE WHEN suspicious >= 4 THEN least(0.65, suspicious / characters * 2.5) ELSE 0 END
-    + CASE WHEN sequences >= 2 THEN least(0.7, sequences * 0.12) ELSE 0 END
-    + CASE WHEN runs >= 2 THEN least(0.5, runs * 0.12) ELSE 0 END), 4)::DOUBLE AS damage_score FROM t
+    + CASE WHEN suspicious * scale >= 4 THEN least(0.65, suspicious / characters * 2.5) ELSE 0 END
+    + CASE WHEN sequences * scale >= 2 THEN least(0.7, sequences * scale * 0.12) ELSE 0 END
+    + CASE WHEN runs * scale >= 2 THEN least(0.5, runs * scale * 0.12) ELSE 0 END), 4)::DOUBLE AS damage_score FROM t
 )
 SELECT source, characters::BIGINT AS characters, replacements::BIGINT AS replacements, controls::BIGINT AS controls,
        suspicious::BIGINT AS suspicious, sequences::BIGINT AS sequences, runs::BIGINT AS runs, damage_score,

@@ -52,7 +52,7 @@ def period_coverage(spark, d):
 
 
 def category_summary(spark, d):
-    return plain(su.category_summary(io.enriched_rows(spark, d, header=False)))
+    return plain(su.category_summary(io.enriched_rows(spark, d)))
 
 
 def dirty_category_summary(spark, d):
@@ -69,15 +69,15 @@ def top_customers(spark, d):
 
 
 def top_products(spark, d):
-    return plain(su.top_products(io.enriched_rows(spark, d, header=False)))
+    return plain(su.top_products(io.enriched_rows(spark, d)))
 
 
 def store_summary(spark, d):
-    return plain(su.store_summary(io.enriched_rows(spark, d, store=True, header=False)).drop("_group"))
+    return plain(su.store_summary(io.enriched_rows(spark, d, store=True)).drop("_group"))
 
 
 def _partly_assigned(spark, d):
-    orders = io.enriched_rows(spark, d, store=True, numbered=True, header=False)
+    orders = io.enriched_rows(spark, d, store=True, numbered=True)
     shop = F.col("store_id")
     return orders.withColumns({
         "store_id": F.when(shop % 5 == 1, F.concat(shop.cast("string"), F.lit(".0"))).when(
@@ -149,7 +149,11 @@ def duplicate_rows(spark, d):
 
 
 def repeated_order_ids(spark, d):
-    return du.repeated_order_ids(io.repeated_rows(spark, d)).drop("note", "list_part")
+    return du.repeated_order_ids(io.repeated_rows(spark, d)).drop("note")
+
+
+def repeated_order_id_rows(spark, d):
+    return du.repeated_order_id_rows(io.repeated_rows(spark, d))
 
 
 def sales_drops(spark, d):
@@ -223,6 +227,7 @@ QUERIES = {
         period_coverage, category_summary, dirty_category_summary, customer_summary, top_customers, top_products,
         store_summary, store_summary_partial, assigned_stores, store_status, raw_quality, post_quality,
         quality_checks, reconciliation, store_reconciliation, report_status, duplicate_rows, repeated_order_ids,
+        repeated_order_id_rows,
         sales_drops, high_returns, high_discounts, anomalies, prepared_expenses, expense_quality,
         expense_breakdown, largest_expense_categories, cash_flow, cash_flow_overlapping, cash_flow_warnings,
         cash_flow_long, finance_kpis, finance_status,

@@ -4,6 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from orderglass.functions.keys import canonical_key
 from orderglass.operators.discovery import discover_relationships, evaluate_candidate
 from orderglass.operators.join_safety import join_safety, leading_zero_overlap
 from orderglass.operators.preflight import drop_selected_rows
@@ -171,3 +172,26 @@ def test_text_damage(spark):
     bad = spark.createDataFrame([("Ã©Ã¡Ã³ �� Ã­Ã©Ã¡ Ã³Ã­Ã©",)] * 3, "t string")
     assert not text_damage(good).first()["looks_damaged"]
     assert text_damage(bad).first()["looks_damaged"]
+
+
+def test_damage_is_a_share_of_the_values(spark):
+    for n in (60, 6000):
+        rows = spark.range(n).select(F.when(F.col("id") % 10 == 0, "锟斤拷 and more").otherwise("a plain value").alias("v"))
+        found = text_damage(rows).first()
+        assert (found["sequences"], found["damage_score"], found["looks_damaged"]) == (n // 10, 0.7, True)
+    few = spark.range(60_000).select(F.when(F.col("id") < 6, "锟斤拷").otherwise("a plain value").alias("v"))
+    assert text_damage(few).first()["damage_score"] == 0.0
+
+
+def test_long_whole_numbers_stay_apart(spark):
+    long = "1" * 45
+    df = spark.createDataFrame([(long,), (long + ".00",), ("00" + long,), ("1" * 44 + "2",), ("-0",), ("-007",)], "k string")
+    found = [r[0] for r in df.select(canonical_key(F.col("k"), "numeric")).collect()]
+    assert found == [long, long, long, "1" * 44 + "2", "0", "-7"]
+
+
+def test_every_equal_key_column_is_a_candidate(spark):
+    columns = [F.col("id").alias("Order Key")] + [(F.col("id") * 7 + i).alias(f"Code {i} Key") for i in range(12)]
+    left, right = spark.range(40).select(*columns), spark.range(40).select(*columns)
+    found = discover_relationships({"Orders": left, "Codes": right}).candidates.where("left_columns = right_columns")
+    assert found.where("relationship_kind = 'single_column'").count() == 13

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 import fixtures as fx
 from orderglass.operators import mapping as mp
 from orderglass.operators.anomalies import detect_anomalies
-from orderglass.operators.duplicates import duplicate_rows, numbered_in_order, repeated_order_ids
+from orderglass.operators.duplicates import duplicate_rows, numbered_in_order, repeated_order_id_rows, repeated_order_ids
 from orderglass.operators.preflight import EXCLUDE_FROM_MONTHLY, run_preflight
 from orderglass.operators.revenue import ColumnMappingError, add_revenue, missing_columns, rename_columns
 from orderglass.operators.summary import monthly_summary, store_summary
@@ -116,18 +116,15 @@ def test_duplicates_are_whole_and_numbered(spark):
     assert found == [(2, 2, 2, 5), (1, 3, 2, 5), (1, 5, 2, 5), (2, 6, 2, 5), (2, 7, 2, 5)]
 
 
-def test_repeated_ids_split_long_lists_without_losing_rows(spark):
+def test_repeated_ids_have_one_row_each_and_all_their_rows(spark):
     rows = [(i + 2, "hot" if i % 3 else f"id{i}", i % 2) for i in range(60)]
     rows += [(62, "pair", 1), (63, "pair", 1), (64, None, 1), (65, None, None)]
     df = spark.createDataFrame(rows, "source_row_number bigint, order_id string, v int")
-    found = repeated_order_ids(df, list_size=10).collect()
-    hot = [r for r in found if r["order_id"] == "hot"]
-    numbers = [int(n) for r in hot for n in r["source_row_numbers"].split(", ")]
-    assert sorted(numbers) == [i + 2 for i in range(60) if i % 3] and len(hot) > 1
-    assert all(len(r["source_row_numbers"].split(", ")) <= 10 for r in hot)
-    rest = {r["order_id"]: r for r in found if r["order_id"] != "hot"}
-    assert rest["pair"]["source_row_numbers"] == "62, 63" and rest["pair"]["rows_are_fully_identical"]
-    assert rest[None]["occurrence_count"] == 2 and not rest[None]["rows_are_fully_identical"]
+    found = {r["order_id"]: (r["occurrence_count"], r["rows_are_fully_identical"]) for r in repeated_order_ids(df).collect()}
+    assert found == {"hot": (40, False), "pair": (2, True), None: (2, False)}
+    places = sorted(r["source_row_number"] for r in repeated_order_id_rows(df).collect())
+    assert places == [i + 2 for i in range(60) if i % 3] + [62, 63, 64, 65]
+    assert repeated_order_ids(df.limit(0)).isEmpty() and repeated_order_id_rows(df.limit(0)).isEmpty()
 
 
 def test_global_numbering_matches_a_sort(spark):
