@@ -194,12 +194,14 @@ def _family_links(families: DataFrame, roots: DataFrame, sets: DataFrame) -> Dat
     links between two components a group returns one, so the result grows with the members, not their pairs.
     """
     named = families.join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
-    known = stage(named.join(sets, "class").select("family", "class", "root", "shingles"), "near-families")
-    sizes = known.groupBy("family").agg(F.sum(F.length("shingles")).alias("bytes"), F.min("root").alias("r"), F.max("root").alias("s"))
+    narrow = stage(named.join(sets, "class").select("family", "class", "root", F.length("shingles").alias("bytes")), "near-families")
+    sizes = narrow.groupBy("family").agg(F.sum("bytes").alias("bytes"), F.min("root").alias("r"), F.max("root").alias("s"))
     parts = sizes.filter(F.col("r") != F.col("s")).select("family", F.ceil(F.col("bytes") / BLOCK_BYTES).cast("int").alias("blocks"))
-    rows = known.join(parts, "family").withColumn("own", F.pmod(F.xxhash64("class"), "blocks").cast("int"))
+    # Only narrow rows meet by family; the sets come by class.
+    rows = narrow.join(parts, "family").withColumn("own", F.pmod(F.xxhash64("class"), "blocks").cast("int")).join(sets, "class")
     each = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    group = ["family", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high")]
+    # One column: a partitioning by family alone would serve three, and leave all blocks of a family in one task.
+    block_pair = F.struct("family", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high")).alias("blocks")
 
     def compare(block: pa.Table) -> pa.Table:
         own = block.column("own").to_numpy()
@@ -235,7 +237,7 @@ def _family_links(families: DataFrame, roots: DataFrame, sets: DataFrame) -> Dat
                     two.append(classes[j])
         return pa.table({"a": pa.array(one, pa.binary()), "b": pa.array(two, pa.binary())})
 
-    return each.select(*group, "own", "class", "root", "shingles").groupBy("family", "low", "high").applyInArrow(compare, "a binary, b binary")
+    return each.select(block_pair, "own", "class", "root", "shingles").groupBy("blocks").applyInArrow(compare, "a binary, b binary")
 
 
 def near_links(docs: DataFrame, rows: DataFrame, shingle: int) -> DataFrame:

@@ -178,6 +178,18 @@ def test_near_groups(spark, given, docs_of):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in rows} == brute_groups(texts, 4)
 
 
+def test_near_blocks(docs_of, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BLOCK_BYTES", 2000)  # many pairs of blocks per family
+    rng, texts = random.Random(4), []
+    for i in range(90):
+        words = [f"w{k}" for k in range(60)]
+        for _ in range(rng.randint(0, 5)):
+            words[rng.randrange(60)] = f"x{rng.randrange(50)}"
+        texts.append((i, " ".join(words)))
+    rows = near_dedup.near_groups(docs_of(texts)).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in rows} == brute_groups(texts, 4)
+
+
 def test_near_odd(docs_of, odd):
     rows = near_dedup.near_groups(docs_of(odd)).collect()
     assert len(rows) == len(odd) and all(r["component_id"] == 5 for r in rows if r["doc_id"] in (5, 6))
@@ -293,8 +305,8 @@ def test_languages(spark, docs_of, odd):
     tested = [r for r in rows if r["held_out"]]
     assert sum(r["lang"] == r["lang_pred"] for r in tested) >= 0.95 * len(tested)
     model = language_id.train(docs_of([(1, "the cat"), (2, "der Hund", "de")]))
-    found = {r["doc_id"]: r["lang_pred"] for r in language_id.identify(docs_of([*odd, (10, "hunde"), (11, "12 34")]), model).collect()}
-    assert found[1] == found[2] == found[3] == found[11] == "und" and found[10] == "de"
+    found = {r["doc_id"]: r["lang_pred"] for r in language_id.identify(docs_of([*odd, (10, "hunde"), (11, "12 34"), (12, "½ ²")]), model).collect()}
+    assert found[1] == found[2] == found[3] == found[11] == found[12] == "und" and found[10] == "de"
     empty = language_id.train(docs_of([]))
     assert [r["lang_pred"] for r in language_id.identify(docs_of([(1, "a")]), empty).collect()] == ["und"]
 
