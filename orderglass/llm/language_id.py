@@ -92,7 +92,8 @@ class _Scorer:
 
     def __call__(self, text: str | None) -> tuple[str, float]:
         words = _WORD.findall((text or "").lower())
-        if not words or not self.model.languages:
+        # Word characters beyond letters (fractions, raised digits) are no letters by themselves.
+        if not self.model.languages or not any(c.isalpha() for w in words for c in w):
             return "und", 0.0
         if len(self.place) > _REMEMBERED:
             self._clear()
