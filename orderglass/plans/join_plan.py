@@ -133,9 +133,14 @@ def _unused(name: str, used: set[str]) -> str:
     return candidate
 
 
-def _attach(frame: DataFrame, right: DataFrame, left_on: Sequence[str], step: JoinStep, names: Mapping[str, str]) -> DataFrame:
-    """Left join on temporary canonical keys; the dimension columns get their output names."""
-    left_keys, right_keys = join_key_columns(frame, right, left_on, step.right_columns, step.key_kinds())
+def _attach(
+    frame: DataFrame, right: DataFrame, left_on: Sequence[str], step: JoinStep, names: Mapping[str, str],
+    unicode_text: bool,
+) -> DataFrame:
+    """Left join on temporary canonical keys; the dimension columns get their output names. Runs nothing."""
+    left_keys, right_keys = join_key_columns(
+        frame, right, left_on, step.right_columns, step.key_kinds(), unicode_text
+    )
     spots = range(len(left_keys))
     renamed = right.select(
         *[key.alias(f"__right_key_{i}") for i, key in zip(spots, right_keys)],
@@ -212,10 +217,15 @@ def run_join_plan(
             message = f"Step {step_ids[step]} cannot find the key column {unknown[0]!r}."
             diagnostic(step, "failed_lineage", message)
             return JoinResult(False, None, spark.createDataFrame(rows, DIAGNOSTIC_SCHEMA), message)
+    # One aggregate per table tells for all its keys.
+    keys: dict[str, list[str]] = {}
+    for step in ordered:
+        if any(kind != "date" for kind in step.key_kinds()):
+            keys.setdefault(step.left_table, []).extend(step.left_columns)
+            keys.setdefault(step.right_table, []).extend(step.right_columns)
+    unicode_tables = {name: has_unicode(tables[name], columns) for name, columns in keys.items()}
     unicode_steps = {
-        step: has_unicode(tables[step.left_table], step.left_columns)
-        or has_unicode(tables[step.right_table], step.right_columns)
-        for step in ordered
+        step: unicode_tables.get(step.left_table, False) or unicode_tables.get(step.right_table, False) for step in ordered
     }
     weighted = _weighted_tables(tables, fact, ordered, unicode_steps)
     checks = []
@@ -249,5 +259,6 @@ def run_join_plan(
     for step in ordered:
         left_on = [names[(step.left_table, column)] for column in step.left_columns]
         right = tables[step.right_table]
-        frame = _attach(frame, right, left_on, step, {c: names[(step.right_table, c)] for c in right.columns})
+        found = {column: names[(step.right_table, column)] for column in right.columns}
+        frame = _attach(frame, right, left_on, step, found, unicode_steps[step])
     return JoinResult(True, frame, spark.createDataFrame(rows, DIAGNOSTIC_SCHEMA) if rows else empty, "", names)
