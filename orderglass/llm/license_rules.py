@@ -2,7 +2,8 @@
 
 A line is ``label strength keyword pattern``. The pattern is a row of words: ``a|b`` is either word, a word
 with ``?`` may be missing, other regular-expression syntax applies inside one word. A rule is only tried
-where its keyword occurs. Earlier lines win where two rules find the same words.
+where its keyword occurs, so every match has to hold it: a whole word, one of several (``a|b``), or the
+beginning of a word (``a*``). Earlier lines win where two rules find the same words.
 """
 
 RULES = """
@@ -11,12 +12,12 @@ lgpl 1.0 library gnu? library general public license|licence version? v?[0-9]+
 lgpl 0.9 lesser gnu? lesser general public license|licence
 lgpl 0.9 library gnu? library general public license|licence
 lgpl 0.9 lgpl gnu? lgpl version? v?[0-9]+ [0-9]? or? later?
-lgpl 0.8 lgpl lgplv?[0-9]+
+lgpl 0.8 lgpl* lgplv?[0-9]+
 lgpl 0.7 lgpl lgpl
 agpl 1.0 affero gnu? affero general public license|licence version? v?[0-9]+ or? later?
 agpl 0.9 affero gnu? affero general public license|licence
 agpl 0.9 agpl gnu? agpl version? v?[0-9]+ or? later?
-agpl 0.8 agpl agplv?[0-9]+
+agpl 0.8 agpl* agplv?[0-9]+
 agpl 0.7 agpl agpl
 affero 0.8 affero affero license|licence
 gpl 1.0 general gnu general public license|licence version v?[0-9]+ or later
@@ -25,7 +26,7 @@ gpl 1.0 general gnu general public license|licence v[0-9]+
 gpl 0.95 general gnu general public license|licence
 gpl 0.9 general general public license|licence
 gpl 0.9 gpl gnu? gpl version? v?[0-9]+ or? later?
-gpl 0.8 gpl gplv[0-9]+
+gpl 0.8 gplv* gplv[0-9]+
 gpl 0.8 gpl licensed under the? gnu? gpl
 gpl 0.6 gpl gnu gpl
 gpl 0.5 gpl gpl license|licence|licensed
@@ -83,7 +84,7 @@ bsd 0.7 redistributions redistributions of source code must retain
 bsd 0.7 redistributions redistributions in binary form must reproduce
 isc 1.0 isc isc license|licence
 isc 0.9 copy permission to use copy modify and or distribute this software
-isc 0.8 isc internet systems consortium isc?
+isc 0.8 consortium internet systems consortium isc?
 mpl-2.0 1.0 mozilla mozilla public license|licence version? v?2 0?
 mpl-2.0 0.9 mpl mpl v?2 0?
 mpl-1.1 1.0 mozilla mozilla public license|licence version? v?1 1
@@ -125,7 +126,7 @@ libpng 0.9 libpng libpng license|licence version? [0-9]?
 boost 1.0 boost boost software license|licence version? [0-9]? [0-9]?
 boost 0.9 bsl bsl 1 0
 unlicense 1.0 unlicense the unlicense
-unlicense 0.9 encumbered free and unencumbered software released into the public domain
+unlicense 0.9 unencumbered free and unencumbered software released into the public domain
 unlicense 0.7 unlicense unlicense
 wtfpl 1.0 wtfpl wtfpl version? [0-9]?
 beerware 1.0 beerware beerware license|licence?
@@ -158,7 +159,7 @@ polyform 0.9 polyform polyform noncommercial|shield|strict|perimeter license|lic
 blue-oak 1.0 oak blue oak model license|licence version? [0-9]?
 mulan 1.0 mulan mulan permissive|public software? license|licence v?[0-9]?
 openldap 0.9 openldap openldap public license|licence version? [0-9]?
-qpl 0.9 qt q public license|licence
+qpl 0.9 q q public license|licence
 lppl 1.0 latex latex project public license|licence version? [0-9]? [0-9]?
 lppl 0.9 lppl lppl v?[0-9]? [0-9]?
 afl 0.8 afl afl v?[0-9] [0-9]
@@ -175,7 +176,7 @@ cdla 0.9 community community data license|licence agreement permissive|sharing v
 ogl 1.0 government open government license|licence v?[0-9]? [0-9]?
 ogl 0.8 ogl ogl v?[0-9] [0-9]?
 openrail 1.0 openrail openrail [ms]? license|licence?
-openrail 0.9 rail responsible ai license|licence
+openrail 0.9 responsible responsible ai license|licence
 cc0 1.0 cc0 cc0 [0-9]? [0-9]? universal?
 cc0 1.0 zero creative commons zero v?[0-9]? [0-9]?
 cc0 0.9 zero cc zero
@@ -207,14 +208,14 @@ public-domain 0.7 domain in the public domain
 public-domain 0.5 domain public domain
 reserved 0.9 reserved copyright c? [0-9]+? all rights reserved
 reserved 0.8 reserved all rights reserved
-reserved 0.8 reserved tous droits réservés
+reserved 0.8 droits tous droits réservés
 reserved 0.8 vorbehalten alle rechte vorbehalten
 reserved 0.8 reservados todos los derechos reservados
 reserved 0.6 reserved some rights reserved
 proprietary 0.9 proprietary proprietary and confidential
 proprietary 0.8 proprietary proprietary software|license|licence
-proprietary 0.8 permission no part of this publication|document|work may be reproduced
-proprietary 0.7 consent without prior written consent|permission
+proprietary 0.8 reproduced no part of this publication|document|work may be reproduced
+proprietary 0.7 written without prior written consent|permission
 commercial 0.7 commercial commercial license|licence required?
 non-commercial 0.7 commercial for non commercial use only
 non-commercial 0.7 noncommercial for noncommercial use only
@@ -227,12 +228,12 @@ no-warranty 0.6 warranties without warranties or conditions of any kind
 no-warranty 0.6 warranty without any warranty
 no-warranty 0.6 warranty disclaimer of warranty
 no-warranty 0.5 provided is provided as is
-liability 0.5 liable in no event shall the? authors?|copyright holders? be? liable?
+liability 0.5 event in no event shall the? authors?|copyright holders? be? liable?
 license-text 0.6 copy you may obtain a copy of the license|licence at
 license-text 0.6 licensed this file|work|software|program|document|project is licensed
-license-text 0.6 license see the license|licence file? for
-license-text 0.5 license subject to the terms of the license|licence
-license-text 0.5 license license|licence agreement
+license-text 0.6 license|licence see the license|licence file? for
+license-text 0.5 license|licence subject to the terms of the license|licence
+license-text 0.5 license|licence license|licence agreement
 license-text 0.4 licensed licensed under
 license-text 0.4 terms under the terms of
 copyright 0.5 copyright copyright c? [0-9]{4}

@@ -48,7 +48,7 @@ def _base(spaced: Column, n_words: Column) -> list[Column]:
 
 def _rule_array() -> Column:
     rows = ", ".join(
-        f"named_struct('rank', {rank}, 'label', '{label}', 'strength', {strength}D, 'keyword', '{keyword}', 'pattern', '{pattern}')"
+        f"named_struct('rank', {rank}, 'label', '{label}', 'strength', {strength}D, 'keywords', split('{keyword}', '[|]'), 'pattern', '{pattern}')"
         for rank, label, strength, keyword, pattern in compiled()
     )
     return F.expr(f"array({rows})")
@@ -100,12 +100,14 @@ def scan_column(text: Column) -> Column:
     """Struct of the base places, the labels, the score and the surviving detections of one text."""
 
     def detected(spaced: Column) -> Column:
-        # The keyword filter: rules whose keyword is nowhere in the text are never matched.
-        keywords = F.array(*[F.lit(k) for k in sorted({rule[3] for rule in compiled()})])
-        present = F.array_intersect(F.split(F.trim(spaced), "  "), keywords)
+        # The keyword filter: rules none of whose keywords is in the text are never matched.
+        keywords = sorted({k for rule in compiled() for k in rule[3].split("|")})
+        words = F.array_intersect(F.split(F.trim(spaced), "  "), F.array(*[F.lit(k) for k in keywords if not k.endswith("*")]))
+        begun = [F.when(F.contains(spaced, F.lit(f" {k.removesuffix('*')}")), F.lit(k)) for k in keywords if k.endswith("*")]
+        present = F.concat(words, F.array_compact(F.array(*begun)))
 
         def search(present: Column) -> Column:
-            tried = F.filter(_rule_array(), lambda rule: F.array_contains(present, rule["keyword"]))
+            tried = F.filter(_rule_array(), lambda rule: F.arrays_overlap(present, rule["keywords"]))
             found = F.flatten(F.transform(tried, lambda rule: _places(spaced, rule)))
             return F.when(F.size(present) > 0, let(found, _surviving)).otherwise(_nothing("at")["out"])
 

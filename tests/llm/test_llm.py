@@ -95,6 +95,37 @@ def test_license_rules():
     assert all(re.compile(r[4]) for r in rules)
 
 
+def texts_of_rule(pattern):
+    """Shortest and longest texts that a rule matches, one per alternative of each of its words."""
+    texts = set()
+    words = [(w, bool(o)) for w, o in re.findall(r" \(\?:(.*?)\) (\)\?)?", pattern)]
+    forms = [[re.sub(r"\[(.).*?\](\{4\})?\+?", lambda m: m[1] * (4 if m[2] else 1), f) for a in w.split("|") for f in {re.sub(r"(.)\?", "", a), a.replace("?", "")}] for w, _ in words]
+    for i, of in enumerate(forms):
+        for form in of:
+            texts.add(" ".join(form if i == k else f[0] for k, f in enumerate(forms) if i == k or not words[k][1]))
+            texts.add(" ".join(form if i == k else f[0] for k, f in enumerate(forms)))
+    return texts
+
+
+def test_license_keywords(docs_of):
+    texts, rules = [], {}
+    for rank, _, _, _, pattern in compiled():
+        for text in texts_of_rule(pattern):
+            spaced = "".join(f" {w} " for w in text.split(" "))
+            if re.fullmatch(pattern, spaced):
+                rules[len(texts)] = rank
+                texts.append((len(texts), f"Zz {text.title() if text.isascii() else text}, zz"))
+    assert set(rules.values()) == set(range(len(compiled())))
+    rows = license_scan.scan_licenses(docs_of([*texts, (-1, "Released under GPLv3."), (-2, "LGPLv2, AGPLv3")])).collect()
+    # Where another rule has the label, it found at least as long a stretch.
+    ends = {r["doc_id"]: [(d["start"], d["end"], d["rule"]) for d in r["detections"]] for r in rows}
+    for i, rank in rules.items():
+        n = len(texts[i][1].split()) - 2
+        assert any(a <= 1 and b >= 1 + n and rule <= rank for a, b, rule in ends[i]), (texts[i], ends[i])
+    found = {r["doc_id"]: (r["labels"], r["score"]) for r in rows}
+    assert found[-1] == ("gpl", 0.8) and found[-2] == ("agpl,lgpl", 0.8)
+
+
 # 3 pages
 
 PAGE = (
