@@ -205,8 +205,10 @@ def _repeats(candidates: DataFrame, docs: DataFrame, length: int) -> tuple[DataF
         "doc_id", "th", F.struct("key", "d1", "d2", "start", "windows", "many").alias("piece")
     )
     lists = wanted.groupBy("doc_id", "th").agg(F.collect_list("piece").alias("pieces"))  # at most one document's
-    named = candidates.select("doc_id", "th").distinct().join(lists, ["doc_id", "th"], "left").select(
-        F.col("doc_id").alias("c_doc"), F.col("th").alias("c_th"), F.coalesce("pieces", F.array().cast("array<struct<key:long,d1:long,d2:long,start:int,windows:int,many:boolean>>")).alias("pieces")
+    ids = candidates.select(F.col("doc_id").alias("c_doc"), F.col("th").alias("c_th")).distinct()
+    of_row = F.col("c_doc").eqNullSafe(F.col("doc_id")) & (F.col("c_th") == F.col("th"))  # null ids are ids as well
+    named = ids.join(lists, of_row, "left").select(
+        "c_doc", "c_th", F.coalesce("pieces", F.array().cast("array<struct<key:long,d1:long,d2:long,start:int,windows:int,many:boolean>>")).alias("pieces")
     )
     rows = _identified(docs)
     joined = rows.join(named, F.col("doc_id").eqNullSafe(F.col("c_doc")) & (F.col("th") == F.col("c_th")), "left")

@@ -74,6 +74,18 @@ def test_substrings_odd(docs_of, odd, monkeypatch):
     assert substring_dedup.remove_repeats(docs_of([]), 40).count() == 0
 
 
+def test_substrings_of_null_ids(docs_of, monkeypatch):
+    rng = random.Random(5)
+    words = [f"{rng.getrandbits(40):x}" for _ in range(120)]
+    texts = [f"{i} start " * 30 + " ".join(words[a : a + rng.randint(30, 60)]) + f" end {i}" * 30 for i, a in enumerate(rng.choices(range(90), k=24))]
+    for ids in ([None] * 24, [i if i % 2 else None for i in range(24)]):
+        for many in (1500, 1):
+            monkeypatch.setattr(substring_dedup, "BLOCK_PIECES", many)
+            rows = substring_dedup.remove_repeats(docs_of(list(zip(ids, texts, strict=True))), 120).collect()
+            want = brute_removed([text.encode() for text in texts], 120)
+            assert sorted((r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in rows) == sorted(want)
+
+
 # 2 licenses
 
 def test_license_places(docs_of, odd):
