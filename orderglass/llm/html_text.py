@@ -31,6 +31,8 @@ _PUNCTUATION = re.compile(r"[.,;:!?…。，；：！？、¿¡]")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SKIPPED = frozenset("script style noscript template textarea iframe object svg math select option title canvas audio video".split())
+#: ASCII case only, on the page itself: lower-casing a text can change its length.
+_ENDS = {name: re.compile(rf"</{name}(?=[\s/>])", re.I | re.A) for name in SKIPPED}
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br img".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 NOT_CONTENT = frozenset("nav footer aside form button fieldset dialog menu head".split())
@@ -85,7 +87,6 @@ def _blocks(html: str) -> list[_Block]:
     blocks: list[_Block] = []
     now: _Block | None = None
     at, size = 0, len(html)
-    lowered = ""
 
     def add(raw: str) -> None:
         nonlocal now
@@ -127,10 +128,9 @@ def _blocks(html: str) -> list[_Block]:
                 now = None
             continue
         if name in SKIPPED:
-            lowered = lowered or html.lower()
-            end = lowered.find(f"</{name}", at)
             if not (tag[3] or "").endswith("/"):
-                at = size if end < 0 else end
+                end = _ENDS[name].search(html, at)
+                at = end.start() if end else size
             if name not in INLINE:
                 now = None
             continue

@@ -158,6 +158,13 @@ def test_page_text(spark):
     assert html_text.main_text("<p>" * 3000 + "deep" + "</b></i>" * 10 + "<" * 50) != ""
 
 
+def test_page_skips_at_true_places():
+    for letters in ("İ", "İ" * 40):
+        for tag in ("script", "STYLE", "template"):
+            page = f"<body><p>{letters} first, text.</p><{tag}>var a = 1;</{tag.lower()} ><p>Second one, with text.</p></body>"
+            assert html_text.main_text(page) == f"{letters} first, text.\n\nSecond one, with text."
+
+
 # 4 quality
 
 def brute_quality(text):
