@@ -3,8 +3,9 @@
 The text of a page is cut into blocks, each with its root-to-leaf path of tags. Text length, punctuation and
 link text are added up per path. A path's ratio is its text and punctuation per block, less the share in
 links; ratios are smoothed over neighbouring blocks, fused with those of the path's container, and paths above
-a threshold are content. What a page marks as menu, header, footer, sidebar, notice, advert, form or comment
-has ratio 0 whatever its length; what it marks as article counts more.
+a threshold are content. What a page marks as menu, header, footer, sidebar, notice, advert, form or comment by
+its tag, its role or a whole class or id has ratio 0 whatever its length. Words within longer classes and ids
+only weight the ratio, as do article and main; the threshold decides inside and outside of them alike.
 
 Defined cases: a null or empty page has empty text; tags that are never closed end with their container;
 repeated rows give the same text; an empty table gives no rows; other columns play no part.
@@ -45,6 +46,10 @@ NOT_CONTENT_NAMES = frozenset(
     "pagination pager copyright legal search form toolbar skip hidden tags tagcloud".split()
 )
 CONTENT_NAMES = frozenset("article content main post entry story body text".split())
+#: Classes that say how a page is laid out (has-sidebar, no-header), not what an element is.
+_LAYOUT = re.compile(r"(?:has|no|not|with|without)[-_]", re.I)
+#: Weights of what lies in article or main, below a content name, and below a name of something else.
+MARKED, NAMED, SHUNNED = 3.0, 1.5, 0.1
 #: Tags that a tag of the same kind, or a block in general, closes.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 KEEPS_OPEN = frozenset("ul ol dl table div section article main body html blockquote td th aside nav header footer form".split())
@@ -55,30 +60,39 @@ SPREAD = (0.25, 0.5, 0.25)
 class _Open:
     """An open tag: its step of the path and what it says about its text."""
 
-    __slots__ = ("name", "step", "bad", "good", "link")
+    __slots__ = ("name", "step", "bad", "marked", "named", "shunned", "link")
 
     def __init__(self, name: str, attributes: str, above: _Open | None) -> None:
         found = {a.lower(): x or y or z or "" for a, x, y, z in _ATTRIBUTE.findall(attributes)} if attributes.strip() else {}
-        marks = f"{found.get('class', '')} {found.get('id', '')}"
-        words = {w.lower() for w in _NAME.findall(marks)} if marks.strip() else set()
-        in_article = above is not None and above.good
+        tokens = f"{found.get('class', '')} {found.get('id', '')}".split()
+        names = [{w.lower() for w in _NAME.findall(t)} for t in tokens if not _LAYOUT.match(t)]
+        words = {w.lower() for t in tokens for w in _NAME.findall(t)}
+        in_article = above is not None and (above.marked or above.named)
         bad = name in NOT_CONTENT or found.get("role", "").lower() in ROLES or "hidden" in found
         bad = bad or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "").lower()
         bad = bad or (name == "header" and not in_article)
+        other = False
         if name not in ("html", "body", "article", "main") and name not in HEADINGS:
-            bad = bad or bool(words & NOT_CONTENT_NAMES)
+            bad = bad or any(t.lower() in NOT_CONTENT_NAMES for t in tokens)
+            other = any(n & NOT_CONTENT_NAMES for n in names)
+        content = any(n & CONTENT_NAMES and not n & NOT_CONTENT_NAMES for n in names)
         self.name, self.step = name, name + (f".{'.'.join(sorted(words))}" if words else "")
         self.bad = bad or (above is not None and above.bad)
-        self.good = in_article or name in ("article", "main") or bool(words & CONTENT_NAMES) and not bad
+        self.marked = name in ("article", "main") or (above is not None and above.marked)
+        self.named = content and not other or (above is not None and above.named)
+        self.shunned = other and not content or (above is not None and above.shunned)
         self.link = name == "a" or (above is not None and above.link)
 
+    def weight(self) -> float:
+        return (MARKED if self.marked else NAMED if self.named else 1.0) * (SHUNNED if self.shunned else 1.0)
+
 
 class _Block:
-    __slots__ = ("path", "parts", "linked", "bad", "good", "text")
+    __slots__ = ("path", "parts", "linked", "bad", "weight", "text")
 
-    def __init__(self, path: tuple[str, ...], at: _Open | None) -> None:
+    def __init__(self, path: tuple[str, ...], bad: bool, weight: float) -> None:
         self.path, self.parts, self.linked = path, [], 0
-        self.bad, self.good, self.text = bool(at and at.bad), bool(at and at.good), ""
+        self.bad, self.weight, self.text = bad, weight, ""
 
 
 def _blocks(html: str) -> list[_Block]:
@@ -91,13 +105,13 @@ def _blocks(html: str) -> list[_Block]:
     def add(raw: str) -> None:
         nonlocal now
         top = stack[-1] if stack else None
-        if now is None or (top and top.bad) != now.bad:
+        if now is None or bool(top and top.bad) != now.bad:
             if not raw.strip():
                 return
             depth = len(stack)
             while depth and stack[depth - 1].name in INLINE:
                 depth -= 1
-            now = _Block(tuple(x.step for x in stack[:depth]), top)
+            now = _Block(tuple(x.step for x in stack[:depth]), bool(top and top.bad), stack[depth - 1].weight() if depth else 1.0)
             blocks.append(now)
         now.parts.append(raw)
         if top and top.link:
@@ -169,19 +183,17 @@ def main_text(html: str | None) -> str:
     ratio = {}
     for path, (length, marks, linked, n) in sums.items():
         ratio[path] = math.log1p(length / n) * (1 + math.log1p(marks / n)) * (1 - linked / length) ** 2
-    raw = [0.0 if b.bad else ratio[b.path] * (3 if b.good else 1) for b in blocks]
+    raw = [0.0 if b.bad else ratio[b.path] for b in blocks]
     smooth = [0.0 if b.bad else v for b, v in zip(blocks, _smoothed(raw), strict=True)]
     container: dict[tuple[str, ...], float] = defaultdict(float)
     for b, v in zip(blocks, smooth, strict=True):
         container[b.path[:-1]] = max(container[b.path[:-1]], v)
-    fused = [0.0 if b.bad else math.sqrt(v * max(v, container[b.path[:-1]])) for b, v in zip(blocks, smooth, strict=True)]
+    fused = [0.0 if b.bad else b.weight * math.sqrt(v * max(v, container[b.path[:-1]])) for b, v in zip(blocks, smooth, strict=True)]
     weight = sum(len(b.text) for b in blocks if not b.bad)
     if not weight:
         return ""
     mean = sum(f * len(b.text) for f, b in zip(fused, blocks, strict=True)) / weight
-    inside = any(b.good and not b.bad for b in blocks)
-    # Where a page marks its article, blocks beside it have to beat the article's own ratio.
-    kept = [b.text for f, b in zip(fused, blocks, strict=True) if not b.bad and f > 0 and f >= THRESHOLD * mean and (b.good or not inside)]
+    kept = [b.text for f, b in zip(fused, blocks, strict=True) if not b.bad and f > 0 and f >= THRESHOLD * mean]
     return "\n\n".join(kept)
 
 

@@ -158,6 +158,22 @@ def test_page_text(spark):
     assert html_text.main_text("<p>" * 3000 + "deep" + "</b></i>" * 10 + "<" * 50) != ""
 
 
+def test_page_names_only_weight():
+    paragraphs = ["The council met on Monday, and it talked about the bridge for hours.", "Nobody, it said, had asked for the report.", "A vote is due in May; the mayor wants a new road."]
+    text, body = "\n\n".join(paragraphs), "".join(f"<p>{p}</p>" for p in paragraphs)
+    for line in ("<p class='post-meta'>By X</p>", "<p class='text-center'>By X</p>"):
+        assert html_text.main_text(f"<body>{line}<div>{body}</div></body>") == f"By X\n\n{text}"
+    for wrapper in (
+        "class='content has-sidebar'", "id='no-sidebar'", "class='search-page'", "class='social-news'", "id='related_story'",
+        "class='page-with-header content'", "class='notice-board'", "class='post-header-wide'",
+    ):
+        for tag in ("div", "section"):
+            page = f"<body><nav>Home</nav><{tag} {wrapper}>{body}</{tag}><div class='sidebar'>{body}</div><footer>x</footer></body>"
+            assert html_text.main_text(page) == text, wrapper
+    for beside in ("<div class='share-buttons'>Share this, please.</div>", "<div class='comment-body'>Nice post, thanks.</div>", "<div class=widget-content>Read more, here.</div>"):
+        assert html_text.main_text(f"<body><div>{body}</div>{beside}</body>") == text, beside
+
+
 def test_page_skips_at_true_places():
     for letters in ("İ", "İ" * 40):
         for tag in ("script", "STYLE", "template"):
