@@ -1,8 +1,9 @@
 """URL filter: fixed host and path rules, and association rules mined from labelled pages.
 
-FP-growth mines combinations of URL tokens with the outcome of labelled pages. Rules for ``block`` that pass
-support and confidence, and that no shorter rule makes superfluous, are kept in an inverted index under their
-rarest token; a URL is matched with the rules under its own tokens. A fixed rule decides before any mined one.
+FP-growth mines combinations of URL tokens with the outcome of labelled pages. Rules for ``block`` of any length
+that at least ``MIN_PAGES`` blocked pages bear out, that pass the confidence, and that no shorter rule makes
+superfluous, are kept in an inverted index under their rarest token; a URL is matched with the rules under its own
+tokens. A fixed rule decides before any mined one.
 
 A page is labelled through the document whose number ends its path; such a document counts as ``block`` if
 its quality is 0 or it is toxic.
@@ -14,6 +15,8 @@ columns play no part.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,9 +26,9 @@ from orderglass.session import stage
 
 #: (host, path, verdict)
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
-MIN_SUPPORT = 0.001
+#: Blocked pages that a rule needs, however many are labelled.
+MIN_PAGES = 5
 MIN_CONFIDENCE = 0.6
-MAX_TOKENS = 3
 
 
 def host_of(url: Column) -> Column:
@@ -49,10 +52,10 @@ def fixed_rule(host: Column, path: Column) -> Column:
 def tokens_of(url: Column) -> Column:
     """Distinct tokens of a URL: host, its domains, path parts (numbers as ``#``) and query names."""
     host, path = host_of(url), path_of(url)
-    # The host and its parent domains of at most four labels, the shortest last.
+    # The top domain first, the whole host last.
     labels = F.split(host, r"\.")
     domains = F.transform(
-        F.sequence(F.lit(1), F.least(F.size(labels), F.lit(4))),
+        F.sequence(F.lit(1), F.size(labels)),
         lambda n: F.concat(F.lit("h:"), F.array_join(F.slice(labels, F.size(labels) - n + 1, n), ".")),
     )
     parts = F.filter(F.split(F.regexp_replace(ascii_lower(path), r"\d+", "#"), r"[/]"), lambda p: p != "")
@@ -72,31 +75,52 @@ def page_labels(pages: DataFrame, labels: DataFrame) -> DataFrame:
     return known.join(outcome, F.col("of") == F.col("doc_id")).select("url", "outcome")
 
 
-def mine_rules(labelled: DataFrame, support: float = MIN_SUPPORT, confidence: float = MIN_CONFIDENCE) -> DataFrame:
+def _baskets(labelled: DataFrame) -> DataFrame:
+    """items of one basket per page without its host, and of one per domain of its host.
+
+    A page's domains hold each other, so a rule needs one of them at most. In baskets of their own they do not
+    multiply the combinations; the other tokens are marked there (``'``), as they count once per domain.
+    """
+    tokens, outcome = tokens_of(F.col("url")), F.concat(F.lit("y:"), F.col("outcome"))
+    domain = F.filter(tokens, lambda t: F.startswith(t, F.lit("h:")))
+    others = F.filter(tokens, lambda t: ~F.startswith(t, F.lit("h:")))
+    marked = F.transform(others, lambda t: F.concat(F.lit("'"), t))
+    by_domain = F.transform(domain, lambda t: F.concat(F.array(t, outcome), marked))
+    return labelled.select(F.explode(F.concat(F.array(F.array_append(others, outcome)), by_domain)).alias("items"))
+
+
+def mine_rules(labelled: DataFrame, support: float | None = None, confidence: float = MIN_CONFIDENCE) -> DataFrame:
     """(tokens, confidence, anchor) of the rules for ``block``; the anchor is the rarest token.
 
-    With at most T tokens per URL and three per rule, there are at most C(T, 3) / support rules.
+    ``support`` is a share of the labelled pages; without it a rule needs ``MIN_PAGES`` blocked pages.
     """
-    baskets = stage(labelled.select(F.array_append(tokens_of(F.col("url")), F.concat(F.lit("y:"), F.col("outcome"))).alias("items")), "url-baskets")
-    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(baskets)
+    baskets = stage(_baskets(labelled), "url-baskets")
+    least = MIN_PAGES if support is None else max(1, math.ceil(support * labelled.count()))
+    # Half a page less, as the share is multiplied and rounded up again.
+    share = min(1.0, (least - 0.5) / max(1, baskets.count()))
+    model = FPGrowth(itemsCol="items", minSupport=share, minConfidence=confidence).fit(baskets)
+    one_domain = F.exists("antecedent", lambda t: F.startswith(t, F.lit("h:")))
+    marked = F.exists("antecedent", lambda t: F.startswith(t, F.lit("'")))
     rules = model.associationRules.filter(
-        (F.get("consequent", F.lit(0)) == "y:block") & (F.size("antecedent") <= MAX_TOKENS)
+        (F.get("consequent", F.lit(0)) == "y:block") & (one_domain | ~marked)
         & ~F.exists("antecedent", lambda t: F.startswith(t, F.lit("y:")))
-    ).select(F.array_sort("antecedent").alias("tokens"), "confidence")
+    ).select(F.array_sort(F.transform("antecedent", lambda t: F.ltrim(t, F.lit("'")))).alias("tokens"), "confidence")
     rules = stage(rules, "url-rules")
+    often = model.freqItemsets.filter(F.size("items") == 1).select(F.get("items", F.lit(0)).alias("token"), "freq")
+    rarest = rules.withColumn("token", F.explode("tokens")).join(often, "token").groupBy("tokens", "confidence").agg(
+        F.min_by("token", F.struct("freq", "token")).alias("anchor")
+    )
+    rarest = stage(rarest, "url-anchors")
     # A rule is superfluous if one with fewer of its tokens is as sure.
-    some = rules.withColumn("token", F.explode("tokens"))
-    shorter = rules.select(F.col("tokens").alias("fewer"), F.col("confidence").alias("sure"), F.explode("tokens").alias("token"))
+    some = rarest.withColumn("token", F.explode("tokens"))
+    shorter = rarest.select(F.col("tokens").alias("fewer"), F.col("confidence").alias("sure"), F.col("anchor").alias("token"))
     worse = some.join(shorter, "token").filter(
         (F.size("fewer") < F.size("tokens")) & (F.size(F.array_except("fewer", "tokens")) == 0) & (F.col("sure") >= F.col("confidence"))
     ).select("tokens").distinct()
-    kept = rules.join(worse, "tokens", "left_anti").withColumn("token", F.explode("tokens"))
-    often = model.freqItemsets.filter(F.size("items") == 1).select(F.get("items", F.lit(0)).alias("token"), "freq")
-    rarest = kept.join(often, "token").groupBy("tokens", "confidence").agg(F.min_by("token", F.struct("freq", "token")).alias("anchor"))
-    return rarest
+    return rarest.join(worse, "tokens", "left_anti")
 
 
-def judge_urls(pages: DataFrame, labels: DataFrame, support: float = MIN_SUPPORT, confidence: float = MIN_CONFIDENCE) -> DataFrame:
+def judge_urls(pages: DataFrame, labels: DataFrame, support: float | None = None, confidence: float = MIN_CONFIDENCE) -> DataFrame:
     """page_id, host, path, rule, verdict and the confidence of the best mined rule of every page."""
     index = stage(mine_rules(page_labels(pages, labels), support, confidence), "url-index")
     urls = pages.select("url").distinct().withColumn("all", tokens_of(F.col("url")))

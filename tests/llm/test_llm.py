@@ -363,6 +363,23 @@ def test_mined_rules(spark):
     assert {tuple(r["tokens"]) for r in rules} == {("h:bad.com",)}
 
 
+def test_rules_of_all_sizes(spark):
+    few = url_filter.MIN_PAGES
+    allowed = [(f"http://h{i}.com/p/{i}", "allow") for i in range(20_000)]
+    # A small host among many pages, too small a one, a deep host, and four tokens that only together are sure.
+    rows = [("http://bad.com/x", "block")] * few + [("http://rare.com/x", "block")] * (few - 1)
+    rows += [("http://a.b.c.d.e.org/", "block")] * few + [("http://z.b.c.d.e.org/", "allow")] * few
+    parts = ["de", "shop", "cart"]
+    rows += [("http://mix.net/de/shop/cart?id=1", "block")] * few
+    rows += [(f"http://mix.net/{'/'.join(p for p in parts if p != gone)}?id=1", "allow") for gone in parts for _ in range(few)]
+    rows += [("http://mix.net/de/shop/cart", "allow")] * few + [("http://w.net/de/shop/cart?id=1", "allow")] * few
+    rules = url_filter.mine_rules(spark.createDataFrame(allowed + rows, "url string, outcome string")).collect()
+    found = {tuple(r["tokens"]): r["confidence"] for r in rules}
+    assert found[("h:bad.com",)] == found[("h:a.b.c.d.e.org",)] == 1.0
+    assert found[("h:mix.net", "p:cart", "p:de", "p:shop", "q:id")] == 1.0
+    assert not any("h:rare.com" in tokens or "h:b.c.d.e.org" in tokens for tokens in found)
+
+
 # 9 languages
 
 def test_languages(spark, docs_of, odd):
