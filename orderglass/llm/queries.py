@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from orderglass.llm import (
-    exact_dedup, html_text, language_id, license_scan, mixing, near_dedup, packing, quality, substring_dedup, url_filter,
+    exact_dedup, filter_audit, html_text, language_id, license_scan, mixing, near_dedup, packing, quality, substring_dedup, url_filter,
 )
 
 
@@ -23,8 +23,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_url_filter": url_filter.op8_url_filter,
         "op9_language_id": language_id.op9_language_id,
         "op10_exact_dedup": exact_dedup.op10_exact_dedup,
+        "op11_filter_audit": filter_audit.op11_filter_audit,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_exact_dedup": exact_dedup.ORACLE}
+    return {"op10_exact_dedup": exact_dedup.ORACLE, "op11_filter_audit": filter_audit.ORACLE}
