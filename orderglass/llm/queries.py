@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from orderglass.llm import (
-    exact_dedup, filter_audit, html_text, language_id, license_scan, mixing, near_dedup, packing, quality, substring_dedup, url_filter,
+    decontamination, exact_dedup, filter_audit, html_text, language_id, license_scan, mixing, near_dedup, packing, quality,
+    ranked_search, substring_dedup, url_filter,
 )
 
 
@@ -24,8 +25,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_language_id": language_id.op9_language_id,
         "op10_exact_dedup": exact_dedup.op10_exact_dedup,
         "op11_filter_audit": filter_audit.op11_filter_audit,
+        "op12_decontamination": decontamination.op12_decontamination,
+        "op13_ranked_search": ranked_search.op13_ranked_search,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_exact_dedup": exact_dedup.ORACLE, "op11_filter_audit": filter_audit.ORACLE}
+    return {
+        "op10_exact_dedup": exact_dedup.ORACLE, "op11_filter_audit": filter_audit.ORACLE,
+        "op12_decontamination": decontamination.ORACLE, "op13_ranked_search": ranked_search.ORACLE,
+    }
