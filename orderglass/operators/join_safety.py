@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from orderglass.functions.keys import LEADING_ZERO, join_key_columns, numeric_key, text_key
 from orderglass.functions.text import percent_text, quoted
+from orderglass.operators.key_sketch import SKETCH_KEYS, bottom_k, estimated_match, relative_error
 
 # Fixed value: an order-line table must find at least this share of its rows in the order table.
 MINIMUM_LINE_TO_HEADER_MATCH = 0.20
@@ -215,22 +216,15 @@ def measured_overlap(
 
 
 def sample_overlap(
-    left: DataFrame, right: DataFrame, left_on: str, right_on: str, kind: str = "text", keep_one_in: int = 1
+    left: DataFrame, right: DataFrame, left_on: str, right_on: str, kind: str = "text", sketch_keys: int = SKETCH_KEYS
 ) -> DataFrame:
-    """One row: share of sampled left rows whose key exists on the right.
+    """One row: the estimated share of left rows whose key exists on the right, from a bottom-k sample of left keys.
 
-    The sample takes the keys whose hash falls in one of ``keep_one_in`` buckets, so it needs no row order
-    and both sides pick the same keys.
+    The sample needs no row order, both sides rank a key alike, and the estimate's relative error is at most
+    ``relative_error``; up to ``sketch_keys`` distinct keys the result is exact. Only sampled keys meet the right table.
     """
     (left_key,), (right_key,) = join_key_columns(left, right, [left_on], [right_on], [kind])
-
-    def sampled(df: DataFrame, key: Column) -> DataFrame:
-        keys = df.select(key.alias("key")).where("key is not null")
-        return keys.where(F.pmod(F.xxhash64("key"), F.lit(keep_one_in)) == 0) if keep_one_in > 1 else keys
-
-    counts = sampled(left, left_key).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    found = sampled(right, right_key).distinct().withColumn("found", F.lit(True))
-    return counts.join(found, "key", "left").agg(
-        F.coalesce(F.sum("n"), F.lit(0)).alias("sampled_rows"),
-        F.coalesce(F.sum(F.when(F.col("found"), F.col("n"))), F.lit(0)).alias("matched_rows"),
-    ).withColumn("match_rate", _share(F.col("matched_rows"), F.col("sampled_rows")))
+    counts = left.select(F.lit(0).alias("spec"), left_key.alias("key")).groupBy("spec", "key").agg(F.count(F.lit(1)).alias("n"))
+    found = right.select(right_key.alias("key")).where("key is not null").distinct().withColumn("found", F.lit(True))
+    sample = bottom_k(counts, k=sketch_keys).join(found, "key", "left").withColumn("matched", F.col("found").isNotNull())
+    return estimated_match(sample, ("spec",)).drop("spec").withColumn("relative_error", F.lit(relative_error(sketch_keys)))

@@ -14,7 +14,7 @@ from orderglass.operators.facts import headline_facts
 from orderglass.operators.finance import finance_tables
 from orderglass.operators.mapping import (
     AVAILABILITY_SCHEMA, STORE_BY_NAME, STORE_NOT_PROVIDED, STORE_PARTIAL, FieldChoice, conversion_diagnostics,
-    customer_conflict, field_availability, report_coverage, store_conflict, store_coverage_note, unified_orders,
+    entity_conflict, field_availability, report_coverage, store_coverage_note, unified_orders,
 )
 from orderglass.operators.preflight import BLOCK, Preflight, preparation_audit, run_preflight
 from orderglass.operators.quality import (
@@ -259,7 +259,7 @@ def mapped_report(
     unified = unified_orders(source, choices, extensions, carry=["source_row_number"])
     # The written copy keeps its types: ids stay text, nothing is parsed a second time.
     unified = stage(unified.withColumn("unified_row_number", F.col("source_row_number") - 1), "unified")
-    issues = customer_conflict(choices, entities), store_conflict(choices, entities)
+    issues = (entity_conflict(entity, choices, entities) for entity in ("customer", "store"))
     availability = field_availability(unified, choices, *issues)
     found = availability.collect()
     preflight = run_preflight(

@@ -17,6 +17,7 @@ from orderglass.operators import mapping as mp
 from orderglass.operators import preflight as pf
 from orderglass.operators import profile as pr
 from orderglass.operators import quality as qu
+from orderglass.operators import recommendation as rc
 from orderglass.operators import summary as su
 from orderglass.operators import anomalies as an
 from orderglass.operators.discovery import discover_relationships
@@ -172,7 +173,7 @@ def leading_zero_warning(spark, d):
 
 def key_sample_overlap(spark, d):
     shops = io.table(spark, d, "supplier")
-    return js.sample_overlap(io.table(spark, d, "orders"), shops, "o_custkey", "s_suppkey", "numeric")
+    return js.sample_overlap(io.table(spark, d, "orders"), shops, "o_custkey", "s_suppkey", "numeric", sketch_keys=256)
 
 
 STEPS = (
@@ -213,8 +214,9 @@ def _diagnostics(result):
 
 def join_step_diagnostics(spark, d):
     tables = {name: io.table(spark, d, name) for name in STEP_TABLES}
-    # Half of the customers are missing, so the later steps of the chain meet unmatched rows.
-    tables["customer"] = tables["customer"].where(F.col("c_custkey") % 2 == 0)
+    # Every other customer has a wrong key, so the later steps of the chain meet unmatched rows.
+    key = F.col("c_custkey")
+    tables["customer"] = tables["customer"].withColumn("c_custkey", F.when(key % 2 == 0, key).otherwise(-key))
     return _diagnostics(run_join_plan(tables, "lineitem", STEPS, STEP_ROLES))
 
 
@@ -251,12 +253,20 @@ def recommended_fact_table(spark, d):
 
 
 def relationship_candidates(spark, d):
-    return discover_relationships(io.business_tables(spark, d)).candidates
+    found = discover_relationships(io.business_tables(spark, d)).candidates
+    return plain(found.select(
+        "candidate_id", "relationship_kind", "expected_join_type", "confidence_score", "confidence_level", "match_rate",
+        "distinct_overlap_rate", "left_key_uniqueness", "right_key_uniqueness", "right_null_key_count",
+        "right_duplicate_key_count", "right_duplicate_row_count", "before_row_count",
+        F.col("after_row_count").cast("bigint").alias("after_row_count"),
+        F.col("row_count_change").cast("bigint").alias("row_count_change"), "many_to_many_risk", "row_inflation",
+        "fact_to_fact_risk", "blocked", F.array_join("risk_flags", "; ").alias("risk_flags"), "status",
+    ))
 
 
 def candidate_overlaps(spark, d):
     """The value evidence of the single-column candidates that discovery accepts."""
-    found = discover_relationships(io.business_tables(spark, d, ("lineitem", "orders", "customer", "part"))).candidates
+    found = discover_relationships(io.business_tables(spark, d)).candidates
     return plain(found.where("relationship_kind = 'single_column'").select(
         "candidate_id", "match_rate", "distinct_overlap_rate", "left_key_uniqueness", "right_key_uniqueness",
         "before_row_count", F.col("after_row_count").cast("bigint").alias("after_row_count"), "expected_join_type",
@@ -272,7 +282,7 @@ def mapping_evidence(spark, d):
 
 def field_recommendations(spark, d):
     source = io.messy_source_rows(spark, d).drop("source_row_number")
-    return mp.recommendation_table(spark, mp.recommend_fields(source))
+    return rc.recommend_fields(source).drop("score_breakdown", "explanation")
 
 
 # ---- mapping, preflight and reports --------------------------------------------------------------------------

@@ -129,8 +129,16 @@ SELECT (SELECT count(*) FROM o WHERE code IN (SELECT code FROM p)) AS text_overl
        'Key formats may differ because leading zeros are present; values such as ''001'' and ''1'' were not '
          || 'treated as the same text identifier.' AS format_warning"""
 TWINS["key_sample_overlap"] = """
-SELECT count(*) AS sampled_rows, count(s_suppkey) AS matched_rows, count(s_suppkey) / count(*) AS match_rate
-FROM orders LEFT JOIN supplier ON o_custkey = s_suppkey"""
+WITH keys AS (SELECT o_custkey::VARCHAR AS k, count(*) AS n FROM orders GROUP BY o_custkey),
+ranked AS (SELECT k, n, -ln((('0x' || substr(md5(k), 1, 13))::BIGINT + 1) / 4503599627370497.0::DOUBLE) / n AS r FROM keys),
+placed AS (SELECT *, row_number() OVER (ORDER BY r, k) AS place FROM ranked),
+weighed AS (
+  SELECT k, n / coalesce(1 - exp(-n * (SELECT r FROM placed WHERE place = 257)), 1) AS w,
+         k IN (SELECT s_suppkey::VARCHAR FROM supplier) AS matched FROM placed WHERE place <= 256
+)
+SELECT count(*) AS sampled_keys, count(*) FILTER (matched) AS matched_keys, sum(w) AS estimated_rows,
+       coalesce(sum(w) FILTER (matched), 0) AS estimated_matched_rows,
+       coalesce(sum(w) FILTER (matched), 0) / sum(w) AS match_rate, 1 / sqrt(255) AS relative_error FROM weighed"""
 CHAIN = """
 FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey LEFT JOIN part ON l_partkey = p_partkey
 LEFT JOIN supplier ON l_suppkey = s_suppkey LEFT JOIN {} c ON o_custkey = c_custkey
@@ -139,7 +147,8 @@ TWINS["safe_join_chain"] = """
 SELECT l_orderkey, l_linenumber, l_quantity, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS o_orderdate, p_name,
        s_name, c_name, n_name, r_name""" + CHAIN.format("customer")
 TWINS["join_step_diagnostics"] = """
-WITH j AS (SELECT *""" + CHAIN.format("(SELECT * FROM customer WHERE c_custkey % 2 = 0)") + """),
+WITH j AS (SELECT *""" + CHAIN.format(
+    "(SELECT * REPLACE (CASE WHEN c_custkey % 2 = 0 THEN c_custkey ELSE -c_custkey END AS c_custkey) FROM customer)") + """),
 s AS (
   SELECT * FROM (VALUES ('join_1', 'lineitem', 'orders'), ('join_2', 'lineitem', 'part'),
     ('join_3', 'lineitem', 'supplier'), ('join_4', 'orders', 'customer'), ('join_5', 'customer', 'nation'),
@@ -296,19 +305,124 @@ SELECT table_id, row_count, column_count, entity_role, role_guess,
 TWINS["recommended_fact_table"] = "SELECT 'lineitem' AS table_id"
 
 
-def overlap(candidate: str, left: str, left_key: str, right: str, right_key: str) -> str:
-    inner = safety(f"SELECT {left_key} AS k FROM {left}", f"SELECT {right_key} AS k FROM {right}")
-    return f"""
-SELECT '{candidate}' AS candidate_id, match_rate, distinct_overlap_rate, left_key_uniqueness,
-       right_key_uniqueness, before_row_count, after_row_count, expected_join_type, blocked FROM ({inner})"""
+# What the names of the business columns mention, and the entity that they point to by themselves.
+NAME_FACTS = {
+    "Order Key": (("key", "order"), "order_header"), "Product Key": (("key", "product"), "product"),
+    "Supplier ID": (("key", "supplier"), "supplier"), "Line Number": (("key",), "order_line"),
+    "Quantity": (("quantity",), None), "Line Amount": (("amount",), None), "Ship Date": (("date",), None),
+    "Customer Key": (("customer", "key"), "customer"), "Order Status": (("order",), "order_header"),
+    "Order Total": (("amount", "order"), "order_header"), "Order Date": (("date", "order"), "order_header"),
+    "Customer Name": (("customer", "name"), "customer"), "Country Code": (("country", "key"), None),
+    "Product Name": (("name", "product"), "product"), "Product Category": (("category", "product"), "category"),
+    "Unit Price": (("price",), None), "Supplier Name": (("name", "supplier"), "supplier"),
+    "Country Name": (("country", "name"), None), "Region Code": (("key",), None), "Region Name": (("name",), None),
+}
 
 
-TWINS["candidate_overlaps"] = " UNION ALL ".join((
-    overlap("lineitem[Order Key]->orders[Order Key]", "lineitem", "l_orderkey", "orders", "o_orderkey"),
-    overlap("lineitem[Product Key]->part[Product Key]", "lineitem", "l_partkey", "part", "p_partkey"),
-    overlap("orders[Customer Key]->customer[Customer Key]", "orders", "o_custkey", "customer", "c_custkey"),
-    overlap("lineitem[Ship Date]->orders[Order Date]", "lineitem", "l_shipdate::DATE", "orders", "o_orderdate::DATE"),
-))
+def _column_rows() -> str:
+    rows = []
+    for listed, (table, names) in enumerate(BUSINESS_NAMES.items()):
+        for name in names.values():
+            concepts, pointed = NAME_FACTS.get(name, ((), None))
+            kind, key, measure, _ = PROFILE_FACTS[table][name]
+            number = kind in ("numeric", "numeric_measure") or (kind == "identifier")
+            rows.append(f"""({listed}, '{table}', '{name}', {list(concepts)}::VARCHAR[], {name.lower().split()}::VARCHAR[],
+                '{kind}', {number}, {key}, {measure}, {f"'{pointed}'" if pointed else 'NULL'})""")
+    return ", ".join(rows)
+
+
+CANDIDATES = f"""
+WITH roles AS ({TWINS['table_roles']}), profile AS ({TWINS['column_profile']}),
+named AS (SELECT * FROM (VALUES {_column_rows()}) v(listed, table_id, column_name, concepts, tokens, kind, number, is_key, is_measure, pointed)),
+cols AS (
+  SELECT named.*, [x FOR x IN concepts IF x NOT IN ('key', 'name')] AS own, role_guess, roles.row_count, roles.entity_role,
+         unique_count, unique_rate,
+         row_number() OVER (ORDER BY CASE role_guess WHEN 'fact' THEN 0 WHEN 'unknown' THEN 1 ELSE 2 END, roles.row_count DESC, listed) AS place,
+         kind NOT IN ('date', 'numeric_measure') AND NOT is_measure AND unique_count >= 5
+           AND (is_key OR (list_contains(concepts, 'name') AND unique_rate >= 0.98)) AS by_values
+  FROM named JOIN roles USING (table_id) JOIN profile USING (table_id, column_name)
+),
+counts AS ({" UNION ALL ".join(
+    f"SELECT '{table}' AS t, '{name}' AS c, {column}::{'DATE::VARCHAR' if PROFILE_FACTS[table][name][0] == 'date' else 'VARCHAR'} AS k, count(*) AS n FROM {table} GROUP BY ALL"
+    for table, names in BUSINESS_NAMES.items() for column, name in names.items()
+    if PROFILE_FACTS[table][name][1] or name in NAME_FACTS and not PROFILE_FACTS[table][name][2]
+)}),
+totals AS (
+  SELECT t, c, sum(n) AS all_rows, coalesce(sum(n) FILTER (k IS NULL), 0) AS null_rows, count(k) AS keys,
+         sum(n) FILTER (k IS NOT NULL) AS key_rows, count(*) FILTER (k IS NOT NULL AND n > 1) AS doubled,
+         coalesce(sum(n) FILTER (k IS NOT NULL AND n > 1), 0) AS doubled_rows FROM counts GROUP BY t, c
+),
+met AS (
+  SELECT l.t AS lt, l.c AS lc, r.t AS rt, r.c AS rc, sum(l.n) AS matched, count(*) AS shared, sum(l.n * (r.n - 1)) AS growth,
+         bool_or(l.n > 1 AND r.n > 1) AS many FROM counts l JOIN counts r ON l.k = r.k AND l.t <> r.t GROUP BY ALL
+),
+pairs AS (
+  SELECT l.table_id AS lt, l.column_name AS lc, r.table_id AS rt, r.column_name AS rc, l.role_guess AS lrole, r.role_guess AS rrole,
+         l.row_count AS lrows, r.row_count AS rrows, l.entity_role AS lentity, r.entity_role AS rentity,
+         CASE WHEN l.tokens = r.tokens THEN 25 WHEN list_intersect(l.concepts, r.concepts) = [] THEN
+                CASE WHEN list_intersect(l.tokens, r.tokens) = [] THEN 0 ELSE 10 END
+              WHEN list_intersect(l.concepts, r.concepts) = ['key'] THEN 8 WHEN list_intersect(l.own, r.own) = [] THEN 7
+              WHEN l.own = r.own THEN CASE WHEN l.is_key <> r.is_key THEN 20 ELSE 22 END
+              WHEN list_has_all(l.own, r.own) OR list_has_all(r.own, l.own) THEN 18 ELSE 15 END AS name_points,
+         CASE WHEN l.kind = 'date' AND r.kind = 'date' THEN 15 WHEN l.kind = 'date' OR r.kind = 'date' THEN NULL
+              WHEN (l.is_measure AND NOT l.is_key) OR (r.is_measure AND NOT r.is_key) THEN NULL
+              WHEN l.number AND r.number AND (l.is_key OR r.is_key OR name_points >= 20) THEN CASE WHEN l.kind = r.kind THEN 15 ELSE 12 END
+              WHEN l.kind IN ('identifier', 'text') AND r.kind IN ('identifier', 'text') THEN CASE WHEN l.kind = r.kind THEN 14 ELSE 12 END
+              END AS type_points,
+         l.is_key OR r.is_key OR name_points = 25
+           OR list_has_any(list_concat(l.concepts, r.concepts), ['date', 'currency', 'customer', 'product', 'store', 'order', 'line_item']) AS signal,
+         name_points < 12 AND l.by_values AND r.by_values AND r.unique_rate >= 0.98
+           AND NOT coalesce(l.pointed <> r.pointed, false) AS weak
+  FROM cols l JOIN cols r ON l.place < r.place AND l.table_id <> r.table_id
+),
+measured AS (
+  SELECT p.*, lentity = 'order_line' AND rentity = 'order_header' AS to_header, coalesce(matched, 0) AS matched_rows,
+         coalesce(matched, 0) / a.all_rows AS match_rate, coalesce(shared, 0) / a.keys AS distinct_overlap_rate,
+         a.keys / a.key_rows AS left_key_uniqueness, b.keys / b.key_rows AS right_key_uniqueness, b.null_rows AS right_null_key_count,
+         b.doubled AS right_duplicate_key_count, b.doubled_rows AS right_duplicate_row_count, a.all_rows AS before_row_count,
+         coalesce(growth, 0) AS row_count_change, coalesce(many, false) AS many_to_many_risk, coalesce(growth, 0) > 0 AS row_inflation,
+         a.keys = a.key_rows AS left_unique, b.keys = b.key_rows AS right_unique
+  FROM pairs p JOIN totals a ON a.t = lt AND a.c = lc JOIN totals b ON b.t = rt AND b.c = rc LEFT JOIN met USING (lt, lc, rt, rc)
+  WHERE type_points IS NOT NULL AND (weak OR name_points >= 12 AND signal)
+),
+judged AS (
+  SELECT *, lrole = 'fact' AND rrole = 'fact' AND NOT to_header AS fact_to_fact_risk,
+         concat_ws('; ', CASE WHEN right_null_key_count > 0 THEN 'right_key_nulls' END,
+           CASE WHEN right_duplicate_key_count > 0 THEN 'right_key_not_unique' END, CASE WHEN many_to_many_risk THEN 'many_to_many' END,
+           CASE WHEN row_inflation THEN 'row_inflation' END, CASE WHEN fact_to_fact_risk THEN 'fact_to_fact' END,
+           CASE WHEN to_header AND match_rate < 0.2 THEN 'order_line_to_header_low_match' END) AS risks,
+         round(name_points + type_points + round(30 * match_rate, 2) + round(20 * right_key_uniqueness, 2)
+           + CASE WHEN lrole = 'fact' AND rrole = 'dimension' THEN 10
+                  WHEN lrole = 'fact' AND rrole = 'unknown' OR lrole = 'unknown' AND rrole = 'dimension' THEN 7
+                  WHEN lrole = 'fact' AND rrole = 'fact' THEN 0 WHEN rrows <= lrows THEN 5 ELSE 3 END
+           + greatest(-30, CASE WHEN row_inflation THEN -10 ELSE 0 END + CASE WHEN fact_to_fact_risk THEN -20 ELSE 0 END
+               + CASE WHEN right_null_key_count > 0 THEN -5 ELSE 0 END
+               + CASE WHEN many_to_many_risk THEN -15 WHEN right_duplicate_key_count > 0 THEN -10 ELSE 0 END), 2)::DOUBLE AS total
+  FROM measured
+),
+scored AS (
+  SELECT *, least(greatest(0, least(100, total)), CASE WHEN weak THEN 79.99 ELSE 100 END)::DOUBLE AS confidence_score, risks <> '' AS blocked FROM judged
+),
+strong AS (SELECT * FROM scored WHERE NOT weak AND match_rate >= 0.2 AND confidence_score >= 45),
+chosen AS (
+  SELECT * FROM strong UNION ALL
+  SELECT * FROM scored w WHERE weak AND match_rate >= 0.85 AND right_key_uniqueness >= 0.98 AND NOT blocked AND confidence_score >= 45
+    AND NOT EXISTS (SELECT 1 FROM strong s WHERE NOT s.blocked AND s.lt = w.lt AND s.rt = w.rt AND (s.lc = w.lc OR s.rc = w.rc))
+)
+SELECT lt || '[' || lc || ']->' || rt || '[' || rc || ']' AS candidate_id, 'single_column' AS relationship_kind,
+       CASE WHEN left_unique AND right_unique THEN 'one_to_one' WHEN right_unique THEN 'many_to_one'
+            WHEN left_unique THEN 'one_to_many' ELSE 'many_to_many' END AS expected_join_type,
+       confidence_score, CASE WHEN confidence_score >= 80 THEN 'high' WHEN confidence_score >= 60 THEN 'medium' ELSE 'low' END AS confidence_level,
+       match_rate, distinct_overlap_rate, left_key_uniqueness, right_key_uniqueness, right_null_key_count::BIGINT AS right_null_key_count,
+       right_duplicate_key_count, right_duplicate_row_count::BIGINT AS right_duplicate_row_count, before_row_count::BIGINT AS before_row_count,
+       (before_row_count + row_count_change)::BIGINT AS after_row_count, row_count_change::BIGINT AS row_count_change, many_to_many_risk,
+       row_inflation, fact_to_fact_risk, blocked, concat_ws('; ', nullif(risks, ''), CASE WHEN weak THEN 'weak_name_high_value_overlap' END) AS risk_flags,
+       'pending' AS status
+FROM chosen"""
+TWINS["relationship_candidates"] = CANDIDATES
+TWINS["candidate_overlaps"] = f"""
+SELECT candidate_id, match_rate, distinct_overlap_rate, left_key_uniqueness, right_key_uniqueness, before_row_count,
+       after_row_count, expected_join_type, blocked FROM ({CANDIDATES})"""
 
 UNIFIED = MESSY + """,
 unified AS (
@@ -371,6 +485,77 @@ TWINS["mapping_evidence"] = MESSY + " " + " UNION ALL ".join(
     )
     for present in (f"trim({text}) <> ''",)
 )
+# Names and context words of the standard fields, as far as the source columns mention them, and what the columns are.
+FIELD_FACTS = (
+    # field, required, type, rate, entity, display, substitute strategy and score, names with points, context words
+    ("order_id", True, "identifier", "text_rate", None, False, ("unmapped", 0), (("order number", 60),), ("order",)),
+    ("date", True, "date", "date_rate", None, False, ("unmapped", 0), (("order date", 60), ("date", 44)), ("order",)),
+    ("product_id", True, "identifier", "text_rate", "product", False, ("unmapped", 0), (("product key", 60),), ("product",)),
+    ("unit_price", True, "money", "numeric_rate", None, False, ("unmapped", 0), (("unit price", 60), ("price", 44)), ("unit", "product")),
+    ("quantity", True, "number", "numeric_rate", None, False, ("unmapped", 0), (("quantity", 60),), ("quantity",)),
+    ("discount_rate", False, "rate", "numeric_rate", None, False, ("default_zero", 55), (("discount rate", 60), ("discount", 52)), ("discount",)),
+    ("customer_id", False, "identifier", "text_rate", "customer", False, ("not_provided", 55), (("customer key", 60),), ("customer",)),
+    ("returned", False, "boolean", "boolean_rate", None, False, ("not_provided", 55), (("returned", 60),), ("returned",)),
+    ("customer_name", False, "text", "text_rate", "customer", True, ("omit", 0), (("customer name", 60), ("name", 34)), ("customer",)),
+    ("product_name", False, "text", "text_rate", "product", True, ("omit", 0), (("product name", 60), ("name", 34)), ("product",)),
+    ("category", False, "text", "text_rate", "category", True, ("omit", 0), (("product category", 60), ("category", 60)), ("product", "category")),
+    ("store_id", False, "identifier", "text_rate", "store", False, ("omit", 0), (("store key", 60),), ("store",)),
+    ("store_name", False, "text", "text_rate", "store", True, ("omit", 0), (("store name", 60),), ("store",)),
+)
+SOURCE_ENTITIES = {
+    "Order Number": "order_header", "Order Date": "order_header", "Customer Key": "customer", "Customer Name": "customer",
+    "Product Key": "product", "Product Name": "product", "Product Category": "category", "Store Key": "store", "Store Name": "store",
+}
+
+
+def _sql(value) -> str:
+    return "NULL" if value is None else f"'{value}'" if isinstance(value, str) else str(value)
+
+
+TWINS["field_recommendations"] = f"""
+WITH RECURSIVE evidence AS ({TWINS['mapping_evidence']}),
+fields AS (SELECT * FROM (VALUES {", ".join(
+    f"({place}, {', '.join(map(_sql, (*facts[:6], *facts[6])))})" for place, facts in enumerate(FIELD_FACTS))})
+  v(place, field, required, kind, reads, entity, display, substitute, substitute_score)),
+names AS (SELECT * FROM (VALUES {", ".join(f"('{f[0]}', '{phrase}', {points})" for f in FIELD_FACTS for phrase, points in f[7])}) v(field, phrase, points)),
+contexts AS (SELECT * FROM (VALUES {", ".join(f"('{f[0]}', '{word}')" for f in FIELD_FACTS for word in f[8])}) v(field, word)),
+cols AS (
+  SELECT e.*, c.place AS column_place, lower(e.column_name) AS name, c.entity AS column_entity
+  FROM evidence e JOIN (VALUES {", ".join(f"({i}, '{name}', {_sql(SOURCE_ENTITIES.get(name))})" for i, name in enumerate((
+      "Order Number", "Order Date", "Customer Key", "Customer Name", "Product Key", "Product Name", "Product Category",
+      "Unit Price", "Quantity", "Discount Rate", "Returned", "Store Key", "Store Name")))}) c(place, column_name, entity) USING (column_name)
+),
+points AS (
+  SELECT place, field, required, kind, column_place, column_name, reads, present_count, column_entity, entity,
+         CASE reads WHEN 'numeric_rate' THEN numeric_rate WHEN 'date_rate' THEN date_rate WHEN 'boolean_rate' THEN boolean_rate ELSE text_rate END AS rate,
+         coalesce((SELECT max(CASE WHEN phrase = name THEN points ELSE points - 8 END) FROM names n
+           WHERE n.field = f.field AND contains(' ' || name || ' ', ' ' || phrase || ' ')
+             AND (phrase = name OR NOT EXISTS (SELECT 1 FROM names x WHERE x.field = f.field AND x.phrase = name))), 0) AS alias,
+         CASE WHEN EXISTS (SELECT 1 FROM contexts k WHERE k.field = f.field AND contains(' ' || name || ' ', ' ' || word || ' ')) THEN 10 ELSE 0 END AS context,
+         CASE WHEN column_entity = entity THEN 20 WHEN entity IS NOT NULL AND column_entity IS NOT NULL THEN -70 ELSE 0 END AS of_entity,
+         CASE WHEN display AND column_name IN ('Order Number', 'Customer Key', 'Product Key', 'Store Key') THEN -45 ELSE 0 END AS penalty
+  FROM fields f, cols
+),
+scores AS (
+  SELECT *, round(greatest(0, least(alias + context + 2 * round(15 * rate, 2) + of_entity + penalty, 100,
+                CASE WHEN field IN ('store_id', 'store_name') AND alias = 0 THEN 49 ELSE 100 END,
+                CASE WHEN reads <> 'text_rate' AND present_count > 0 AND rate < 0.5 THEN 45 ELSE 100 END)), 2)::DOUBLE AS score FROM points
+),
+ranked AS (
+  SELECT *, row_number() OVER (ORDER BY score DESC, required DESC, field DESC, column_place) AS r FROM scores WHERE score >= 50
+),
+greedy AS (
+  SELECT 0::BIGINT AS r, ''::VARCHAR AS field, ''::VARCHAR AS column_name, 0::DOUBLE AS score, []::VARCHAR[] AS fields, []::VARCHAR[] AS columns
+  UNION ALL
+  SELECT k.r, CASE WHEN free THEN k.field END, CASE WHEN free THEN k.column_name END, k.score,
+         CASE WHEN free THEN list_append(fields, k.field) ELSE fields END, CASE WHEN free THEN list_append(columns, k.column_name) ELSE columns END
+  FROM (SELECT g.fields, g.columns, k.r, k.field, k.column_name, k.score,
+               NOT list_contains(g.fields, k.field) AND NOT list_contains(g.columns, k.column_name) AS free
+        FROM greedy g JOIN ranked k ON k.r = g.r + 1) k
+)
+SELECT f.field AS standard_field, f.required, f.kind AS target_type, CASE WHEN g.field IS NULL THEN substitute ELSE 'source' END AS recommended_strategy,
+       g.column_name AS recommended_source, coalesce(g.score, substitute_score)::DOUBLE AS confidence_score
+FROM fields f LEFT JOIN greedy g ON g.field = f.field"""
 TWINS["preflight_counts"] = UNIFIED + """,
 k AS (SELECT * FROM flagged WHERE NOT bad_price AND NOT bad_quantity)
 SELECT (SELECT count(*) FROM flagged) AS unified_row_count,

@@ -210,8 +210,8 @@ def test_mapping_plan_errors(spark):
 
 def test_customer_conflict_is_named():
     choices = [mp.FieldChoice("customer_id", source="Shipper ID")]
-    assert "classified as shipper" in mp.customer_conflict(choices)
-    assert mp.customer_conflict([mp.FieldChoice("customer_id", source="Customer ID")]) is None
+    assert "classified as shipper" in mp.entity_conflict("customer", choices)
+    assert mp.entity_conflict("customer", [mp.FieldChoice("customer_id", source="Customer ID")]) is None
 
 
 def test_csv_round_trip(spark, tmp_path):
