@@ -58,14 +58,18 @@ def exact_groups(docs: DataFrame, salts: int = SALTS) -> DataFrame:
 
 def drop_exact_copies(docs: DataFrame, salts: int = SALTS) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns; one row per distinct text."""
-    found = stage(winners(docs, salts), "exact-winners").select(
-        F.col("digest").alias("__digest"), F.col("keep_id").alias("__keep")
+
+    def name(doc: str):
+        return F.coalesce(F.col(doc).cast("string"), F.lit(""))
+
+    found = stage(winners(docs, salts).select("digest", "keep_id"), "exact-winners").select(
+        F.col("digest").alias("__digest"), name("keep_id").alias("__keep")
     )
-    digest = F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256))
-    rows = docs.withColumn("__of", digest)
-    top = rows.join(found, (F.col("__of") == F.col("__digest")) & F.col("doc_id").eqNullSafe(F.col("__keep")))
-    # doc_id is part of the key, so a large group of copies is spread before it meets its winner.
-    order = Window.partitionBy("__digest", "__keep").orderBy("__digest")
+    rows = docs.withColumns({"__of": F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)), "__id": name("doc_id")})
+    # doc_id is part of the key, so a large group of copies is spread before it meets its winner. Both keys are
+    # plain columns: the rows are shuffled once, for the join, and ranked where they lie.
+    top = rows.join(found, (F.col("__of") == F.col("__digest")) & (F.col("__id") == F.col("__keep")), "left_semi")
+    order = Window.partitionBy("__of", "__id").orderBy("__of")
     return top.withColumn("__place", F.row_number().over(order)).filter("__place = 1").select(*docs.columns)
 
 
