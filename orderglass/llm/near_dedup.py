@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orderglass.llm.common import table
-from orderglass.llm.components import connected_components
+from orderglass.llm.components import connected_components, refined
 from orderglass.session import stage
 
 BANDS, ROWS = 64, 7
@@ -263,10 +263,9 @@ def near_links(docs: DataFrame, rows: DataFrame, shingle: int) -> DataFrame:
     links = stage(_confirmed(candidates, sets), "near-links")
     roots = connected_components(links)
     # Families: classes whose signatures leave a link possible, directly or through others.
-    families = connected_components(candidates).select(F.col("node").alias("class"), F.col("root").alias("family"))
-    inside = stage(_family_links(families, roots, sets), "near-links")
-    links = links.unionAll(inside)
-    roots = connected_components(links)
+    # What is linked already is one node of that graph, and of the following ones.
+    families = refined(roots, candidates).select(F.col("node").alias("class"), F.col("root").alias("family"))
+    roots = refined(roots, stage(_family_links(families, roots, sets), "near-links"))
     # Members of one band that are in different families have no such chain: compared pair by pair.
     placed = members.join(families, "class", "left").withColumn("family", F.coalesce("family", "class"))
     kinds = placed.groupBy("band", "key").agg(F.min("family").alias("r"), F.max("family").alias("s")).filter(F.col("r") != F.col("s"))
@@ -281,8 +280,7 @@ def near_links(docs: DataFrame, rows: DataFrame, shingle: int) -> DataFrame:
     more = stage(_alike(pairs, marks), "near-more")
     if not more.limit(1).count():
         return roots
-    links = links.unionAll(stage(_confirmed(more, sets_of(more)), "near-links"))
-    return connected_components(links)
+    return refined(roots, stage(_confirmed(more, sets_of(more)), "near-links"))
 
 
 def near_groups(docs: DataFrame, shingle: int = 4) -> DataFrame:
