@@ -192,7 +192,7 @@ def _pieces(rows: DataFrame, length: int) -> DataFrame:
 def _repeats(candidates: DataFrame, docs: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
     """Repeated runs of windows per distinct piece (key, d1, d2, begin, end), and the texts of all documents.
 
-    Texts of documents without candidates are only summed up (n_bytes, digest).
+    Texts of documents without candidates are summed up at once (n_bytes, digest).
     """
     variants = stage(candidates.groupBy("key", "d1", "d2").agg(
         F.count("*").alias("n"), F.first("doc_id").alias("doc_id"), F.first("th").alias("th"),
@@ -214,8 +214,7 @@ def _repeats(candidates: DataFrame, docs: DataFrame, length: int) -> tuple[DataF
     joined = rows.join(named, F.col("doc_id").eqNullSafe(F.col("c_doc")) & (F.col("th") == F.col("c_th")), "left")
     plain = F.col("pieces").isNull()
     texts = stage(joined.select(
-        "doc_id", "th", F.length("data").cast("long").alias("n_bytes"), F.when(plain, F.sha2("data", 256)).alias("whole_sha256"),
-        F.when(~plain, F.col("data")).alias("data"), "pieces",
+        "doc_id", "th", F.length("data").cast("long").alias("n_bytes"), F.when(plain, F.sha2("data", 256)).alias("whole_sha256"), "data", "pieces",
     ), "repeat-texts")
 
     given = texts.filter("size(pieces) > 0").select("data", F.explode("pieces").alias("piece")).select(
@@ -269,7 +268,7 @@ def _repeats(candidates: DataFrame, docs: DataFrame, length: int) -> tuple[DataF
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept (the bytes that stay, if any go) of every document."""
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_kept (bytes) and kept (the bytes that stay) of every document."""
     pieces = stage(_pieces(_identified(docs), length), "repeat-pieces")
     often = pieces.groupBy("key").agg(F.sum("own").alias("n")).filter("n > 1").select("key")
     candidates = stage(pieces.join(often, "key", "left_semi"), "repeat-candidates")
@@ -285,12 +284,12 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     )
     plain = texts.filter("whole_sha256 is not null").select(
         "doc_id", "n_bytes", F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"),
-        F.col("whole_sha256").alias("kept_sha256"), F.lit(None).cast("binary").alias("kept"),
+        F.col("whole_sha256").alias("kept_sha256"), F.col("n_bytes").alias("n_kept"), F.col("data").alias("kept"),
     )
     open_ = texts.filter("whole_sha256 is null").select("doc_id", "th", "data").join(
         cuts, F.col("doc_id").eqNullSafe(F.col("c_doc")) & (F.col("th") == F.col("c_th")), "left"
     )
-    kinds = [pa.int64()] * 4 + [pa.string(), pa.binary()]
+    kinds = [pa.int64()] * 4 + [pa.string(), pa.int64(), pa.binary()]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -306,15 +305,20 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                     at = last = max(at, end)
                 kept.append(data[at:])
                 rest = b"".join(kept)
-                rows.append((doc, len(data), removed, n, hashlib.sha256(rest).hexdigest(), rest if n else None))
-            yield _batch(rows, "doc_id n_bytes n_removed n_spans kept_sha256 kept", kinds)
+                rows.append((doc, len(data), removed, n, hashlib.sha256(rest).hexdigest(), len(rest), rest))
+            yield _batch(rows, "doc_id n_bytes n_removed n_spans kept_sha256 n_kept kept", kinds)
 
     judged = open_.select("doc_id", "data", "cuts").mapInArrow(
-        cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
+        cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_kept long, kept binary"
     )
     return plain.unionAll(judged)
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents without their repeated strings of 400 bytes."""
-    return remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+    """All documents without their repeated strings of 400 bytes: the contract's columns, the bytes kept, and the text kept.
+
+    Cuts fall between bytes; a character that a cut splits is shown in ``text`` as replaced, kept_sha256 and n_kept
+    are of the bytes.
+    """
+    found = remove_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_kept", F.make_valid_utf8(F.col("kept").cast("string")).alias("text"))
