@@ -89,24 +89,60 @@ def _baskets(labelled: DataFrame) -> DataFrame:
     return labelled.select(F.explode(F.concat(F.array(F.array_append(others, outcome)), by_domain)).alias("items"))
 
 
+def _item_facts(baskets: DataFrame, least: int) -> DataFrame:
+    """(item, kind, n, bad, chosen): items of at least ``least`` blocked baskets, how many baskets hold them, and one
+    item that stands for all of its kind that the same baskets hold, by 128 bits of hash.
+
+    Tokens that always come together, such as the query names of one form, would double the combinations each.
+    """
+    held = baskets.select("id", F.array_contains("items", "y:block").alias("bad"), F.explode("items").alias("item")).filter(
+        ~F.startswith("item", F.lit("y:"))
+    )
+    kind = F.when(F.startswith("item", F.lit("h:")), "h").when(F.startswith("item", F.lit("'")), "'").otherwise("")
+    facts = held.groupBy("item").agg(
+        F.count("*").alias("n"), F.count_if("bad").alias("bad"),
+        *(F.bit_xor(F.xxhash64(F.lit(seed), "id")).alias(f"seen{seed}") for seed in (1, 2)),
+    ).filter(F.col("bad") >= least).withColumn("kind", kind)
+    alike = ["kind", "n", "bad", "seen1", "seen2"]
+    return facts.join(facts.groupBy(*alike).agg(F.min("item").alias("chosen")), alike).select("item", "kind", "n", "bad", "chosen")
+
+
+def _with_members(rules: DataFrame, facts: DataFrame) -> DataFrame:
+    """(tokens, confidence): each rule with every token that one of its tokens stands for."""
+    members = facts.groupBy(F.col("chosen").alias("token")).agg(F.collect_list(F.ltrim("item", F.lit("'"))).alias("members"))
+    lists = rules.select("rule", "confidence", F.explode("antecedent").alias("token")).join(members, "token").groupBy("rule", "confidence").agg(
+        F.collect_list("members").alias("lists")
+    )
+    none = F.array(F.array().cast("array<string>"))
+    each = F.aggregate("lists", none, lambda made, one: F.flatten(F.transform(made, lambda begun: F.transform(one, lambda t: F.array_append(begun, t)))))
+    return lists.select(F.explode(each).alias("tokens"), "confidence").select(F.array_sort("tokens").alias("tokens"), "confidence").distinct()
+
+
 def mine_rules(labelled: DataFrame, support: float | None = None, confidence: float = MIN_CONFIDENCE) -> DataFrame:
     """(tokens, confidence, anchor) of the rules for ``block``; the anchor is the rarest token.
 
     ``support`` is a share of the labelled pages; without it a rule needs ``MIN_PAGES`` blocked pages.
     """
-    baskets = stage(_baskets(labelled), "url-baskets")
+    baskets = stage(_baskets(labelled).select(F.monotonically_increasing_id().alias("id"), "items"), "url-baskets")
     least = MIN_PAGES if support is None else max(1, math.ceil(support * labelled.count()))
     # Half a page less, as the share is multiplied and rounded up again.
     share = min(1.0, (least - 0.5) / max(1, baskets.count()))
-    model = FPGrowth(itemsCol="items", minSupport=share, minConfidence=confidence).fit(baskets)
+    facts = stage(_item_facts(baskets, least), "url-items")
+    # A token that only blocked pages hold is a rule by itself, and makes each larger one superfluous.
+    pure = facts.filter("n = bad and kind <> \"'\"").select(F.array("item").alias("tokens"), F.lit(1.0).alias("confidence"))
+    mixed = facts.filter("n > bad")
+    used = baskets.select("id", F.explode("items").alias("item")).join(mixed.filter("item = chosen").select("item"), "item", "left_semi")
+    outcome = baskets.select("id", F.filter("items", lambda t: F.startswith(t, F.lit("y:"))).alias("y"))
+    reduced = stage(outcome.join(used.groupBy("id").agg(F.collect_list("item").alias("few")), "id").select(F.concat("few", "y").alias("items")), "url-baskets")
+    model = FPGrowth(itemsCol="items", minSupport=min(1.0, share * baskets.count() / max(1, reduced.count())), minConfidence=confidence).fit(reduced)
     one_domain = F.exists("antecedent", lambda t: F.startswith(t, F.lit("h:")))
     marked = F.exists("antecedent", lambda t: F.startswith(t, F.lit("'")))
-    rules = model.associationRules.filter(
+    found = model.associationRules.filter(
         (F.get("consequent", F.lit(0)) == "y:block") & (one_domain | ~marked)
         & ~F.exists("antecedent", lambda t: F.startswith(t, F.lit("y:")))
-    ).select(F.array_sort(F.transform("antecedent", lambda t: F.ltrim(t, F.lit("'")))).alias("tokens"), "confidence")
-    rules = stage(rules, "url-rules")
-    often = model.freqItemsets.filter(F.size("items") == 1).select(F.get("items", F.lit(0)).alias("token"), "freq")
+    ).select(F.monotonically_increasing_id().alias("rule"), "antecedent", "confidence")
+    rules = stage(pure.unionAll(_with_members(stage(found, "url-found"), mixed)), "url-rules")
+    often = facts.filter("kind <> \"'\"").select(F.col("item").alias("token"), F.col("n").alias("freq"))
     rarest = rules.withColumn("token", F.explode("tokens")).join(often, "token").groupBy("tokens", "confidence").agg(
         F.min_by("token", F.struct("freq", "token")).alias("anchor")
     )
