@@ -4,9 +4,9 @@ A word seen in training scores by its log frequency per language. An unseen word
 n-grams of the greatest length of which any is known, down to single characters. A document's language is
 the one with the greatest sum over all its words.
 
-Training reads a bounded sample: about ``sample`` documents per language, chosen by hash among the given
-ones, and the ``vocabulary`` most frequent words and n-grams of each length; these bound the model. Prediction
-reads every whole text and nothing but the text.
+Training reads a bounded sample: about ``sample`` labelled documents per language, chosen by hash among the given
+ones. All their words and n-grams are kept; the sample alone bounds the model. Prediction reads every whole text and
+nothing but the text.
 
 Defined cases: a null text, one without letters, or a model without languages gives ``und`` and score 0; ties
 go to the first language in order; repeated rows are judged alike; an empty table gives no rows; other
@@ -27,7 +27,6 @@ from orderglass.llm.common import table
 from orderglass.session import stage
 
 SAMPLE = 3000
-VOCABULARY = 30_000
 LONGEST = 5
 _WORD = re.compile(r"[^\W\d_]+")
 _REMEMBERED = 200_000
@@ -50,12 +49,12 @@ class Model:
         self.languages, self.places, self.scores = languages, places, scores
 
     @classmethod
-    def of_counts(cls, languages: list[str], tables: dict[int, dict[str, list[int]]], totals: dict[int, list[int]]) -> Model:
+    def of_counts(cls, languages: list[str], tables: dict[int, tuple[list[str], np.ndarray]]) -> Model:
+        """``tables``: per length the entries and their counts, a row per entry and a column per language."""
         places, scores = {}, {}
-        for n, counts in tables.items():
-            places[n] = {gram: i for i, gram in enumerate(counts)}
-            seen = np.array(list(counts.values()), dtype=float).reshape(len(counts), len(languages))
-            scores[n] = np.log((seen + 0.5) / (np.array(totals[n], dtype=float) + 0.5 * (len(counts) + 1)))
+        for n, (entries, seen) in tables.items():
+            places[n] = {gram: i for i, gram in enumerate(entries)}
+            scores[n] = np.log((seen + 0.5) / (seen.sum(axis=0) + 0.5 * (len(entries) + 1)))
         return cls(languages, places, scores)
 
     def word(self, word: str) -> np.ndarray | None:
@@ -104,40 +103,44 @@ class _Scorer:
         return self.model.languages[best], float(1 / np.exp(np.clip(total - total[best], -50, 0)).sum())
 
 
-def train(docs: DataFrame, sample: int = SAMPLE, vocabulary: int = VOCABULARY) -> Model:
-    """A model from text and lang of ``docs``; its size does not grow with them."""
+def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
+    """A model from text and lang of ``docs``: all words and n-grams of about ``sample`` documents per language.
+
+    Languages are numbered, so any text may be the name of one.
+    """
     known = docs.select("doc_id", "text", "lang").filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
     per_language = {row["lang"]: row["n"] for row in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     languages = sorted(per_language)
     if not languages:
-        return Model.of_counts([], {n: {} for n in range(LONGEST + 1)}, {n: [] for n in range(LONGEST + 1)})
-    share = F.element_at(F.create_map(*[F.lit(x) for k, n in per_language.items() for x in (k, min(1.0, sample / n))]), F.col("lang"))
-    chosen = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share * 1_000_000)
-    words = chosen.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))).alias("gram"))
-    counted = stage(words.groupBy("lang", "gram").agg(F.count("*").alias("n")), "language-words")
+        return Model.of_counts([], {n: ([], np.zeros((0, 0))) for n in range(LONGEST + 1)})
+    facts = F.element_at(F.create_map(*[
+        F.struct(F.lit(i).alias("number"), F.lit(min(1.0, sample / per_language[k])).alias("share")) if half else F.lit(k)
+        for i, k in enumerate(languages) for half in (0, 1)
+    ]), F.col("lang"))
+    chosen = known.withColumn("fact", facts).filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.col("fact.share") * 1_000_000)
+    words = chosen.select(F.col("fact.number").alias("number"), F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))).alias("gram"))
+    counted = stage(words.groupBy("number", "gram").agg(F.count("*").alias("n")), "language-words")
     marked = F.concat(F.lit("<"), F.col("gram"), F.lit(">"))
-    tables, totals = {}, {}
+    tables = {}
     for n in range(LONGEST + 1):
         if n:
             text = marked if n > 1 else F.col("gram")
             starts = F.when(F.length(text) >= n, F.sequence(F.lit(1), F.length(text) - n + 1))
-            grams = counted.select("lang", F.explode(F.transform(starts, lambda i, t=text: F.substring(t, i, F.lit(n)))).alias("gram"), "n")
-            rows = grams.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+            grams = counted.select("number", F.explode(F.transform(starts, lambda i, t=text: F.substring(t, i, F.lit(n)))).alias("gram"), "n")
         else:
-            rows = counted.filter("n > 1")
-        per = rows.groupBy("gram").pivot("lang", languages).agg(F.sum("n")).fillna(0)
-        every = sum((F.col(f"`{k}`") for k in languages), F.lit(0))
-        total = rows.groupBy("lang").agg(F.sum("n").alias("n")).collect()  # one row per language
-        top = per.orderBy(F.desc(every), "gram").limit(vocabulary).collect()  # at most ``vocabulary`` rows
-        tables[n] = {row["gram"]: [row[k] for k in languages] for row in top}
-        of = {row["lang"]: row["n"] for row in total}
-        totals[n] = [of.get(k, 0) for k in languages]
-    return Model.of_counts(languages, tables, totals)
+            grams = counted
+        per = grams.groupBy("gram").agg(F.array(*(
+            F.sum(F.when(F.col("number") == i, F.col("n")).otherwise(0)) for i in range(len(languages))
+        )).alias("counts"))
+        found = per.toArrow()  # bounded by the sample
+        counts = found.column("counts").combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        tables[n] = found.column("gram").to_pylist(), counts.reshape(-1, len(languages))
+    return Model.of_counts(languages, tables)
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, lang_pred and score of every document."""
-    # Its size is bounded by the vocabulary.
+    # Its size is bounded by the sample of labelled documents.
     shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.places, model.scores))
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
