@@ -11,6 +11,8 @@ gives no rows; repeated rows are judged alike; other columns play no part.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,46 +56,72 @@ def _rule_array() -> Column:
     return F.expr(f"array({rows})")
 
 
-def _nothing(counter: str) -> Column:
-    """Start of a fold over detections: a word counter and no detections."""
-    kind = "array<struct<start:int,negative_end:int,rank:int,label:string,strength:double>>"
-    return F.expr(f"named_struct('{counter}', 0, 'out', cast(array() as {kind}))")
+DETECTIONS = "array<struct<start:int,negative_end:int,rank:int,label:string,strength:double>>"
+SCAN_WIDTH = 64
+
+
+def _nothing() -> Column:
+    return F.array().cast(DETECTIONS)
+
+
+def _scanned(values: Column, op: Callable[[Column, Column], Column], body: Callable[[Callable[[Column], Column]], Column]) -> Column:
+    """``body`` with a function that gives ``op`` over all values before a place (from 0), starting with 0.
+
+    Values are scanned in groups of SCAN_WIDTH, and the groups' results again, so no array grows value by value.
+    """
+    zero = F.array(F.lit(0))
+
+    def grown(acc: Column, value: Column) -> Column:
+        return F.array_append(acc, op(F.element_at(acc, -1), value))
+
+    starts = F.sequence(F.lit(1), F.greatest(F.size(values), F.lit(1)), F.lit(SCAN_WIDTH))
+    groups = F.transform(starts, lambda at: F.aggregate(F.slice(values, at, F.lit(SCAN_WIDTH)), zero, grown))
+
+    def by_group(groups: Column) -> Column:
+        before = F.aggregate(F.transform(groups, lambda group: F.element_at(group, -1)), zero, grown)
+
+        def at(before: Column) -> Column:
+            group = lambda i: F.shiftright(i, 6)
+            return body(lambda i: op(F.get(before, group(i)), F.get(F.get(groups, group(i)), i.bitwiseAND(F.lit(SCAN_WIDTH - 1)))))
+
+        return let(before, at)
+
+    return let(groups, by_group)
 
 
 def _places(spaced: Column, rule: Column) -> Column:
     """Detections of one rule as (start, end, rank, label, strength), in words."""
     gaps = F.transform(F.split(spaced, rule["pattern"], -1), _count_words)
     sizes = F.transform(F.regexp_extract_all(spaced, rule["pattern"], F.lit(0)), _count_words)
-    none = _nothing("at")
 
     def from_parts(parts: Column) -> Column:
-        def step(acc: Column, i: Column) -> Column:
-            start = acc["at"] + F.get(parts["gaps"], i)
-            end = start + F.get(parts["sizes"], i)
-            found = F.struct(
-                start.alias("start"), (-end).alias("negative_end"), rule["rank"].alias("rank"),
-                rule["label"].alias("label"), rule["strength"].alias("strength"),
-            )
-            return F.struct(end.alias("at"), F.array_append(acc["out"], found).alias("out"))
-
-        places = F.sequence(F.lit(0), F.size(parts["sizes"]) - 1)
-        return F.when(F.size(parts["sizes"]) > 0, F.aggregate(places, none, step)["out"]).otherwise(none["out"])
+        steps = F.transform(parts["sizes"], lambda size, i: F.get(parts["gaps"], i) + size)
+
+        def placed(ends_before: Callable[[Column], Column]) -> Column:
+            def found(size: Column, i: Column) -> Column:
+                start = ends_before(i) + F.get(parts["gaps"], i)
+                return F.struct(
+                    start.alias("start"), (-(start + size)).alias("negative_end"), rule["rank"].alias("rank"),
+                    rule["label"].alias("label"), rule["strength"].alias("strength"),
+                )
+
+            return F.transform(parts["sizes"], found)
+
+        return F.when(F.size(parts["sizes"]) > 0, let(steps, lambda s: _scanned(s, lambda x, y: x + y, placed))).otherwise(_nothing())
 
     return let(F.struct(gaps.alias("gaps"), sizes.alias("sizes")), from_parts)
 
 
 def _surviving(found: Column) -> Column:
     """Detections that no longer or, on the same words, earlier one contains."""
-    none = _nothing("reach")
 
-    def step(acc: Column, d: Column) -> Column:
-        inside = -d["negative_end"] <= acc["reach"]
-        return F.struct(
-            F.greatest(acc["reach"], -d["negative_end"]).alias("reach"),
-            F.when(inside, acc["out"]).otherwise(F.array_append(acc["out"], d)).alias("out"),
-        )
+    def in_order(found: Column) -> Column:
+        def apart(reach_before: Callable[[Column], Column]) -> Column:
+            return F.filter(found, lambda d, i: -d["negative_end"] > reach_before(i))
+
+        return let(F.transform(found, lambda d: -d["negative_end"]), lambda ends: _scanned(ends, lambda x, y: F.greatest(x, y), apart))
 
-    return F.aggregate(F.sort_array(found), none, step)["out"]
+    return F.when(F.size(found) > 0, let(F.sort_array(found), in_order)).otherwise(found)
 
 
 def scan_column(text: Column) -> Column:
@@ -109,7 +137,7 @@ def scan_column(text: Column) -> Column:
         def search(present: Column) -> Column:
             tried = F.filter(_rule_array(), lambda rule: F.arrays_overlap(present, rule["keywords"]))
             found = F.flatten(F.transform(tried, lambda rule: _places(spaced, rule)))
-            return F.when(F.size(present) > 0, let(found, _surviving)).otherwise(_nothing("at")["out"])
+            return F.when(F.size(present) > 0, let(found, _surviving)).otherwise(_nothing())
 
         return let(present, search)
 
