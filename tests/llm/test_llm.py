@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -275,7 +276,7 @@ def test_packing(spark, given, docs_of, odd):
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
+    odd = [*odd, (8, "a <|endoftext|> b<|endoftext|>"), (9, " " * 100_000 + "x\n" + "\t" * 3_000), (10, "x" * 20_000), (11, "<|endoftext|" + " \u3000" * 900)]
     for rows, texts, limit in ((packing.op6_best_fit_packing(spark, FOLDER), list(given.items()), 2048), (packing.pack_documents(docs_of(odd), path, 64), odd, 64)):
         want, total = Counter(), 0
         for doc, text in texts:
@@ -432,3 +433,52 @@ def test_pipeline(spark, given, labels):
     packed = corpus_pipeline.run(spark, FOLDER)
     assert packed.filter(F.col("offset") + F.col("length") > 2048).count() == 0
     assert {r["doc_id"] for r in packed.select("doc_id").distinct().collect()} <= {d for d, (_, top) in groups.items() if d == top}
+
+
+def test_license_hits_are_linear(spark):
+    text = "\n".join(f"file{i} licensed under the Apache License, Version 2.0 or GPLv3, all rights reserved" for i in range(6_000))
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    license_scan.scan_licenses(docs.withColumn("text", F.lit("MIT License"))).collect()
+    begin = time.perf_counter()
+    row = license_scan.scan_licenses(docs).first()
+    assert time.perf_counter() - begin < 20 and len(row["detections"]) >= 12_000
+    places = [(d["start"], d["end"]) for d in row["detections"]]
+    assert places == sorted(places) and all(a[1] < b[1] for a, b in zip(places, places[1:], strict=False))
+    one = license_scan.scan_licenses(docs.withColumn("text", F.lit(text.split("\n")[0]))).first()
+    n = row["n_words"] // 6_000
+    assert {(a % n, b - a) for a, b in places} == {(d["start"], d["end"] - d["start"]) for d in one["detections"]}
+
+
+@pytest.mark.parametrize("wrapper", ['class="story legal"', 'class="text promo"', 'class="content banner"', 'class="modal content"', 'class="search"', 'id="overlay"', 'id="form"'])
+def test_wrappers_of_whole_articles(wrapper):
+    article = [f"{name} of the story has many words, marks, and more." * 4 for name in ("First", "Second", "Third")]
+    page = (
+        f"<nav><a href=/>Home</a></nav><div class=promo><p>Buy now, cheap.</p></div><div {wrapper}>{''.join(f'<p>{p}</p>' for p in article)}"
+        f"<div class=notice>We use cookies.</div></div><div class=comments><p>{'A reader writes. ' * 20}</p></div>"
+    )
+    assert html_text.main_text(page) == "\n\n".join(article)
+
+
+@pytest.mark.parametrize("broken", ["<a ", "<!", "<a '", '<a "" ', "<b></i>", "<div>x"])
+def test_broken_pages_are_linear(broken):
+    begin = time.perf_counter()
+    html_text.main_text(broken * (1_000_000 // len(broken)) if broken != "<div>x" else broken * 20_000)
+    assert time.perf_counter() - begin < 5
+
+
+def test_any_name_of_a_language(spark):
+    rows = [(i, f"{word} {word}{i}", lang) for i, (word, lang) in enumerate([("uno", "gram"), ("eins", "a`b"), ("un", "n"), ("one", "number")] * 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = {r["doc_id"]: r["lang_pred"] for r in language_id.identify(docs, language_id.train(docs)).collect()}
+    assert found == {doc: lang for doc, _, lang in rows}
+
+
+def test_urls_with_many_shared_names(spark):
+    query = "&".join(f"utm{i}=1" for i in range(20))
+    urls = [(f"http://a{i}.org/x{i}/?{query}", "block") for i in range(6)] + [("http://a9.org/?" + query, "allow")] * 2
+    urls += [(f"http://b.com/y/?k={i}", "block") for i in range(6)] + [(f"http://c.com/z/{i}", "allow") for i in range(9)]
+    begin = time.perf_counter()
+    rules = {(tuple(r["tokens"]), round(r["confidence"], 3)) for r in url_filter.mine_rules(spark.createDataFrame(urls, "url string, outcome string")).collect()}
+    assert time.perf_counter() - begin < 60
+    assert rules >= {((f"q:utm{i}",), 0.75) for i in range(20)} | {(("h:b.com",), 1.0), (("p:y",), 1.0), (("q:k",), 1.0)}
+    assert all(len(tokens) == 1 or sure > 0.75 for tokens, sure in rules)
