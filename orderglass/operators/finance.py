@@ -12,6 +12,7 @@ from orderglass.functions.dates import parse_date, year_month
 from orderglass.functions.numbers import MONEY, exact_sum, money_total, safe_divide, strict_number
 from orderglass.functions.text import money_text, quoted
 from orderglass.operators.checks import checks_table, metric_rows
+from orderglass.session import stage
 
 BREAKDOWN_SCHEMA = (
     "expense_category string, total_expense decimal(38,6), expense_count bigint, "
@@ -249,12 +250,13 @@ def finance_tables(
     missing = [name for name in required if name not in expenses.columns]
     if missing:
         raise ValueError(f"The expenses table lacks required columns: {', '.join(missing)}")
-    prepared = prepare_expenses(expenses)
-    flow = cash_flow_summary(monthly, prepared)
+    # Five tables read the expenses and three the cash flow; both are written once.
+    prepared = stage(prepare_expenses(expenses), "expenses")
+    flow = stage(cash_flow_summary(monthly, prepared), "cash-flow").orderBy("year_month")
     breakdown = expense_breakdown(prepared)
     return {
         "finance_status": finance_status(expenses, path),
-        "expense_post_conversion_quality": expense_quality(prepared),
+        "expense_post_conversion_quality": stage(expense_quality(prepared), "expense-quality"),
         "finance_kpis": finance_kpis(flow, breakdown),
         "expenses_enriched": prepared,
         "cash_flow_summary": flow,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 from orderglass.functions.labels import store_key_text
 from orderglass.functions.numbers import MONEY, exact_sum, safe_divide
 from orderglass.functions.text import clean_text, quoted
+from orderglass.session import stage
 
 UNASSIGNED_STORE = "Unassigned Store"
+DISTINCT_ORDERS = "count(DISTINCT order_id) FILTER (WHERE order_id IS NOT NULL)"
 
 MONTHLY_COLUMNS = (
     "year_month", "gross_revenue", "discount_amount", "discounted_revenue", "revenue", "orders", "units", "AOV",
@@ -21,6 +23,8 @@ MONTHLY_COLUMNS = (
     "observed_min_date", "observed_max_date", "observed_day_count", "calendar_day_count", "is_partial_period",
     "partial_reason", "previous_revenue", "revenue_growth_amount", "revenue_growth_rate",
 )
+CUSTOMER_KEYS = ("customer_id", "customer_name")
+PRODUCT_KEYS = ("product_id", "product_name", "category")
 STORE_COLUMNS = ("store_id", "store_name", "revenue", "orders", "units", "aov", "revenue_share")
 
 
@@ -40,16 +44,13 @@ def _measures() -> list[Column]:
 
 
 def _with_orders(rows: DataFrame, keys: Sequence[str], measures: Sequence[Column]) -> DataFrame:
-    """The measures per key and the number of distinct orders.
+    """The measures per key and the number of distinct orders, from one scan.
 
-    Counting the orders in the same aggregate would shuffle every sum once per (key, order) pair, which is about
-    once per row. Apart, the sums shrink to one row per key and task, and only the bare pairs are shuffled, spread
-    over all tasks however hot a key is. Both sides end up partitioned by the keys, so the join moves nothing big.
+    A plain distinct count would shuffle every sum once per (key, order) pair, which is about once per row. With a
+    filter, Catalyst expands each row in two, one for the sums and one for the order, so the sums shrink to one row
+    per key and task, and only bare pairs are shuffled, spread over all tasks however hot a key is.
     """
-    sums = rows.groupBy(*map(quoted, keys)).agg(*measures)
-    pairs = rows.where(F.col("order_id").isNotNull()).select(*map(quoted, keys), "order_id").distinct()
-    orders = pairs.groupBy(*map(quoted, keys)).agg(F.count(F.lit(1)).alias("orders"))
-    return sums.join(orders, list(keys), "left").withColumn("orders", F.coalesce("orders", F.lit(0)))
+    return rows.groupBy(*map(quoted, keys)).agg(*measures, F.expr(DISTINCT_ORDERS).alias("orders"))
 
 
 MEASURES = (
@@ -75,8 +76,11 @@ def summarize_orders(orders: DataFrame, keys: Sequence[str], ordered: bool = Tru
     Rows with a null key are left out; the reconciliation report then shows the gap. ``ordered=False`` skips the
     final sort.
     """
-    summary = _with_orders(_known_keys(orders, keys), keys, _measures())
-    summary = _with_ratios(summary.select(*map(quoted, keys), *MEASURES))
+    return _ranked(_with_orders(_known_keys(orders, keys), keys, _measures()), keys, ordered)
+
+
+def _ranked(sums: DataFrame, keys: Sequence[str], ordered: bool = True) -> DataFrame:
+    summary = _with_ratios(sums.select(*map(quoted, keys), *MEASURES))
     return summary.orderBy(F.desc("revenue"), *map(quoted, keys)) if ordered else summary
 
 
@@ -85,7 +89,7 @@ def category_summary(orders: DataFrame, ordered: bool = True) -> DataFrame:
 
 
 def customer_summary(orders: DataFrame, ordered: bool = True) -> DataFrame:
-    return summarize_orders(orders, ["customer_id", "customer_name"], ordered)
+    return summarize_orders(orders, CUSTOMER_KEYS, ordered)
 
 
 def top_rows(summary: DataFrame, keys: Sequence[str], n: int = 10, measure: str = "revenue") -> DataFrame:
@@ -94,8 +98,7 @@ def top_rows(summary: DataFrame, keys: Sequence[str], n: int = 10, measure: str
 
 
 def top_products(orders: DataFrame, n: int = 10) -> DataFrame:
-    keys = ["product_id", "product_name", "category"]
-    return top_rows(summarize_orders(orders, keys, ordered=False), keys, n)
+    return top_rows(summarize_orders(orders, PRODUCT_KEYS, ordered=False), PRODUCT_KEYS, n)
 
 
 def _coverage_measures() -> list[Column]:
@@ -147,7 +150,11 @@ def monthly_summary(orders: DataFrame) -> DataFrame:
     The unpartitioned windows run over one row per month, never over orders.
     """
     months = _known_keys(orders, ["year_month"])
-    monthly = _with_ratios(_with_orders(months, ["year_month"], [*_measures(), *_coverage_measures()]))
+    return _monthly(_with_orders(months, ["year_month"], [*_measures(), *_coverage_measures()]))
+
+
+def _monthly(sums: DataFrame) -> DataFrame:
+    monthly = _with_ratios(sums)
     previous = F.lag("revenue").over(W.orderBy("year_month"))
     monthly = _with_coverage(monthly).withColumn("previous_revenue", previous)
     return monthly.withColumns({
@@ -199,12 +206,15 @@ def store_summary(orders: DataFrame, ordered: bool = True) -> DataFrame:
         exact_sum(F.col("final_revenue")).alias("revenue"),
         exact_sum(F.col("quantity")).alias("units"),
     ])
-    grand_total = exact_sum_of_orders(orders)
-    stores = stores.withColumns({
+    return _stores(stores, exact_sum_of_orders(orders).scalar(), ordered)
+
+
+def _stores(sums: DataFrame, grand_total: Column, ordered: bool = True) -> DataFrame:
+    stores = sums.withColumns({
         "store_name": F.when(F.col("_group") == "", UNASSIGNED_STORE)
         .otherwise(F.coalesce("_name", F.concat(F.lit("Store "), F.col("store_id")))),
         "aov": safe_divide(F.col("revenue"), F.col("orders")),
-        "revenue_share": safe_divide(F.col("revenue"), grand_total.scalar()),
+        "revenue_share": safe_divide(F.col("revenue"), grand_total),
     })
     result = stores.select("_group", *STORE_COLUMNS)
     return result.orderBy(F.desc("revenue"), "_group") if ordered else result
@@ -214,6 +224,71 @@ def exact_sum_of_orders(orders: DataFrame) -> DataFrame:
     return orders.agg(exact_sum(F.col("final_revenue")).alias("total"))
 
 
+#: The key columns of each summary that :func:`order_summaries` builds; no key at all is the total of all rows.
+SUMMARY_KEYS = {
+    "monthly_summary": ("year_month",), "category_summary": ("category",), "customer_summary": CUSTOMER_KEYS,
+    "products": PRODUCT_KEYS, "total": (), "stores": ("_group",), "store_names": ("_group", "_store_name"),
+}
+
+
+def _grouped(rows: DataFrame, sets: Mapping[str, Sequence[str]], measures: Sequence[Column]) -> DataFrame:
+    """The measures of several summaries from one scan; ``_summary`` names the one, keys of the others are null."""
+    columns = list(dict.fromkeys(key for keys in sets.values() for key in keys))
+    # Spark's grouping id has one bit per column, the first column highest, set where the column is left out.
+    ids = [sum((key not in keys) << place for place, key in enumerate(reversed(columns))) for keys in sets.values()]
+    grouped = rows.groupingSets([[quoted(key) for key in keys] for keys in sets.values()], *map(quoted, columns)).agg(
+        F.grouping_id().alias("_id"), *measures
+    )
+    named = F.create_map(*[F.lit(part) for pair in zip(ids, sets) for part in pair])
+    return grouped.withColumn("_summary", named[F.col("_id").cast("int")]).drop("_id")
+
+
+def order_summaries(orders: DataFrame, stores: bool = False) -> dict[str, DataFrame]:
+    """Monthly, category, customer and product summaries, with ``stores`` also that of the stores, from two jobs.
+
+    ``orders`` should be a written table: one job reads its sums, another only order ids and keys, however many
+    summaries there are. Grouping sets send each row to every summary inside its task; there the sums shrink to one
+    row per key before anything is shuffled, so only bare (key, order) pairs travel. A store's names are a grouping
+    set of their own with the first row of each, so that all buffers have a fixed width. Both results are written, a
+    folder per summary, and each table reads its own rows. The results are those of the single functions.
+    """
+    names = [name for name in SUMMARY_KEYS if stores or not name.startswith("store")]
+    measures = [*_measures(), *_coverage_measures()]
+    if stores:
+        orders = _store_groups(orders)
+        first = F.col("source_row_number") if "source_row_number" in orders.columns else F.lit(0).cast("bigint")
+        measures.append(F.min(first).alias("_first_row"))
+    counted = [name for name in names if name not in ("total", "store_names")]
+    keys = list(dict.fromkeys(key for name in counted for key in SUMMARY_KEYS[name]))
+    by_order = {name: (*SUMMARY_KEYS[name], "order_id") for name in counted}
+    pairs = _grouped(orders.where("order_id is not null").select(*map(quoted, keys), "order_id"), by_order, [])
+    found_orders = pairs.groupBy("_summary", *map(quoted, keys)).agg(F.count(F.lit(1)).alias("orders"))
+    sums = stage(_grouped(orders, {name: SUMMARY_KEYS[name] for name in names}, measures), "summaries", ("_summary",))
+    counts = stage(found_orders, "summary-orders", ("_summary",))
+
+    def part(name: str) -> DataFrame:
+        own = SUMMARY_KEYS[name]
+        of_sums, of_counts = (_known_keys(rows.where(F.col("_summary") == name), own) for rows in (sums, counts))
+        met = of_sums.join(of_counts.select(*map(quoted, own), "orders"), list(own), "left")
+        return met.withColumn("orders", F.coalesce("orders", F.lit(0)))
+
+    found = {
+        "monthly_summary": _monthly(part("monthly_summary")),
+        "category_summary": _ranked(part("category_summary"), SUMMARY_KEYS["category_summary"]),
+        "customer_summary": _ranked(part("customer_summary"), CUSTOMER_KEYS),
+        "top_products": top_rows(_ranked(part("products"), PRODUCT_KEYS, ordered=False), PRODUCT_KEYS),
+    }
+    if stores:
+        total = sums.where("_summary = 'total'").agg(F.max("revenue")).scalar()
+        labels = _known_keys(sums.where("_summary = 'store_names'"), SUMMARY_KEYS["store_names"]).groupBy("_group").agg(
+            F.min_by("_store_name", F.struct("_first_row", "_store_name")).alias("_name")
+        )
+        key = F.when(F.startswith("_group", F.lit("id:")), F.substr("_group", F.lit(4)))
+        named = part("stores").drop("_store_name").join(labels, "_group", "left").withColumn("store_id", key)
+        found["store_summary"] = _stores(named, total)
+    return found
+
+
 def assigned_stores(stores: DataFrame) -> DataFrame:
     """Stores that can be ranked. The group key decides: a real store may be called Unassigned Store.
 

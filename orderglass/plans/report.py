@@ -21,9 +21,7 @@ from orderglass.operators.quality import (
     VALIDATION_SCHEMA, post_quality, raw_quality, reconciliation, report_status, store_reconciliation,
 )
 from orderglass.operators.revenue import add_revenue, missing_columns
-from orderglass.operators.summary import (
-    category_summary, customer_summary, monthly_summary, store_status, store_summary, top_products,
-)
+from orderglass.operators.summary import order_summaries, store_status, store_summary
 from orderglass.session import stage
 from orderglass.sources.sink import visible, write_report
 from orderglass.sources.tables import read_expenses, read_orders
@@ -73,23 +71,39 @@ def order_report(
             "anomalies": spark.createDataFrame([], ANOMALY_SCHEMA),
             **finance,
         }
-    enriched = stage(add_revenue(orders, numeric_names), "enriched")
-    monthly, category, customer = monthly_summary(enriched), category_summary(enriched), customer_summary(enriched)
-    post = post_quality(enriched)
-    validation = reconciliation(enriched, monthly, category, customer)
+    return enriched_report(stage(add_revenue(orders, numeric_names), "enriched"), quality, expenses, expenses_path)
+
+
+def enriched_report(
+    enriched: DataFrame, quality: DataFrame, expenses: DataFrame | None = None, expenses_path: str = "",
+    stores: bool = False,
+) -> Tables:
+    """All tables over written order rows and the quality of the rows as read.
+
+    What other tables are made of (summaries, checks, findings, cash flow) is written once and read from there, so
+    the status, the reconciliation and the headline facts touch small tables only. The duplicate tables exist where
+    the rows carry a ``source_row_number``.
+    """
+    summaries = order_summaries(enriched, stores)
+    monthly, category, customer = (
+        summaries[name] for name in ("monthly_summary", "category_summary", "customer_summary")
+    )
+    quality = stage(quality, "quality")
+    post = stage(post_quality(enriched), "post-quality")
+    validation = stage(reconciliation(enriched, monthly, category, customer), "validation")
     finance = finance_tables(monthly, expenses, expenses_path)
-    return {
-        "data_quality": quality,
-        "enriched_orders": enriched,
+    duplicates = {
         "duplicate_rows_detail": duplicate_rows(enriched),
         "repeated_order_id_detail": repeated_order_ids(enriched),
         "repeated_order_id_rows": repeated_order_id_rows(enriched),
+    } if "source_row_number" in enriched.columns else {}
+    return {
+        "data_quality": quality,
+        "enriched_orders": enriched,
+        **duplicates,
         "post_conversion_data_quality": post,
-        "monthly_summary": monthly,
-        "category_summary": category,
-        "customer_summary": customer,
-        "top_products": top_products(enriched),
-        "anomalies": detect_anomalies(enriched, monthly),
+        **summaries,
+        "anomalies": stage(detect_anomalies(enriched, monthly), "anomalies"),
         "validation_report": validation,
         "report_status": report_status(quality, post, validation, finance["expense_post_conversion_quality"]),
         **finance,

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -36,13 +37,13 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def stage(df: DataFrame, name: str = "stage") -> DataFrame:
-    """Write ``df`` once as parquet in the shared folder and read it back.
+def stage(df: DataFrame, name: str = "stage", partition_by: Sequence[str] = ()) -> DataFrame:
+    """Write ``df`` once as parquet in the shared folder and read it back, a folder per value of ``partition_by``.
 
     The result has no lineage to recompute after an executor is lost, and readers still get column
     pruning and filter pushdown, which a row-format checkpoint would not give them.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/orderglass/{name}-{uuid.uuid4().hex}"
-    df.write.mode("errorifexists").parquet(path)
+    df.write.mode("errorifexists").parquet(path, partitionBy=list(partition_by) or None)
     return spark.read.schema(df.schema).parquet(path)

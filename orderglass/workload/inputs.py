@@ -104,10 +104,9 @@ def repeated_rows(spark: SparkSession, folder: str) -> DataFrame:
         F.col("l_quantity").alias("quantity"), F.col("l_discount").alias("discount_rate"),
         F.when(F.col("l_returnflag") != "N", F.col("l_returnflag")).alias("flag"), "source_row_number",
     )
-    # The copies start far above any row number of the original load.
-    copies = lines.where(F.col("order_id") % 25 == 0).withColumn(
-        "source_row_number", F.col("source_row_number") + 1_000_000_000_000
-    )
+    # Row numbers start at 2 and have no gaps, so the copies follow the last one.
+    last = lines.agg(F.max("source_row_number")).scalar()
+    copies = lines.where(F.col("order_id") % 25 == 0).withColumn("source_row_number", F.col("source_row_number") + last)
     return lines.unionByName(copies)
 
 

@@ -341,7 +341,7 @@ WITH base AS (
 ),
 loaded AS (
   SELECT * FROM base UNION ALL
-  SELECT order_id, product_id, quantity, discount_rate, flag, source_row_number + 1000000000000 FROM base
+  SELECT order_id, product_id, quantity, discount_rate, flag, source_row_number + (SELECT max(source_row_number) FROM base) FROM base
   WHERE order_id % 25 = 0
 )"""
 TWINS["duplicate_rows"] = REPEATED + """,

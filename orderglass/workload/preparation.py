@@ -357,31 +357,17 @@ def text_damage_score(spark, d):
 
 
 def _report_tables(spark, d):
-    """The report over benchmark orders and dirty expenses; the enriched rows are written once."""
+    """Order rows written once, their summaries and findings."""
     rows = io.order_rows(spark, d, customer=True, store=True)
     enriched = stage(io.add_revenue(rows, numeric_names=io.TEXT_NAMES), "enriched")
-    monthly = stage(su.monthly_summary(enriched), "monthly")
-    finance = fi.finance_tables(monthly, io.dirty_expense_rows(spark, d))
-    category, customer = su.category_summary(enriched, False), su.customer_summary(enriched, False)
-    quality = qu.raw_quality(rows)
-    post, validation = qu.post_quality(enriched), qu.reconciliation(enriched, monthly, category, customer)
-    return {
-        "enriched_orders": enriched, "monthly_summary": monthly, "category_summary": category,
-        "customer_summary": customer, "top_products": su.top_products(enriched),
-        "store_summary": su.store_summary(enriched, False), "data_quality": quality,
-        "anomalies": an.detect_anomalies(enriched, monthly), "post_conversion_data_quality": post,
-        "validation_report": validation,
-        "report_status": qu.report_status(
-            quality, post, validation, finance["expense_post_conversion_quality"]),
-        **finance,
-    }
+    tables = {"enriched_orders": enriched, **su.order_summaries(enriched, stores=True)}
+    return {**tables, "anomalies": an.detect_anomalies(enriched, tables["monthly_summary"])}
 
 
 def headline_facts(spark, d):
     tables = _report_tables(spark, d)
-    for name in ("category_summary", "customer_summary", "store_summary", "cash_flow_summary"):
-        tables[name] = stage(tables[name], name)
-    return fa.headline_facts(tables, ("executive", "business", "finance"))
+    finance = fi.finance_tables(tables["monthly_summary"], io.dirty_expense_rows(spark, d))
+    return fa.headline_facts({**tables, **finance}, ("executive", "business", "finance"))
 
 
 def dashboard_kpis(spark, d):

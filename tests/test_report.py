@@ -7,6 +7,7 @@ from orderglass.operators.anomalies import detect_anomalies
 from orderglass.operators.duplicates import duplicate_rows, numbered_in_order, repeated_order_id_rows, repeated_order_ids
 from orderglass.operators.preflight import EXCLUDE_FROM_MONTHLY, run_preflight
 from orderglass.operators.revenue import ColumnMappingError, add_revenue, missing_columns, rename_columns
+from orderglass.operators import summary as su
 from orderglass.operators.summary import monthly_summary, store_summary
 from orderglass.plans.report import ReportError, mapped_report, order_report, run_report
 
@@ -58,6 +59,27 @@ def test_faulty_case(faulty):
     assert (kpis["total_expenses"], kpis["net_cash_flow"]) == (250.0, 452.0)
 
 
+def test_summaries_in_one_pass_equal_the_single_ones(spark):
+    rows = fx.CLEAN_ORDERS + fx.FAULTY_ORDERS + fx.CLEAN_ORDERS[:2] + [
+        (None, "2026-01-09", None, None, "P9", None, None, "1", "2", "0", "true"),
+    ]
+    shop = F.col("source_row_number") % 4
+    orders = add_revenue(fx.orders(spark, rows)).withColumns({
+        "store_id": F.when(shop > 1, shop.cast("string")),
+        "store_name": F.when(shop == 3, F.concat(F.lit("S"), F.col("source_row_number").cast("string")))
+        .when(shop == 0, "Only a name"),
+    })
+    found = su.order_summaries(orders, stores=True)
+    single = {
+        "monthly_summary": su.monthly_summary(orders), "category_summary": su.category_summary(orders),
+        "customer_summary": su.customer_summary(orders), "top_products": su.top_products(orders),
+        "store_summary": su.store_summary(orders),
+    }
+    for name, table in single.items():
+        assert [row.asDict() for row in found[name].collect()] == [row.asDict() for row in table.collect()], name
+    assert all(table.isEmpty() for table in su.order_summaries(orders.limit(0), stores=True).values())
+
+
 def test_order_without_required_columns_fails_but_reports(spark):
     tables = order_report(fx.orders(spark, fx.CLEAN_ORDERS).drop("returned"))
     status = tables["report_status"].first()
