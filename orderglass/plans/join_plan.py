@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orderglass.functions.keys import has_unicode, join_key_columns
@@ -23,6 +23,8 @@ DIAGNOSTIC_SCHEMA = (
 
 
 WEIGHT = "__fact_rows"
+# A key with more than this share of the fact rows is heavy; at most 100 keys of a step can be.
+HEAVY_SHARE = 0.01
 
 
 @dataclass(frozen=True)
@@ -135,9 +137,16 @@ def _unused(name: str, used: set[str]) -> str:
 
 def _attach(
     frame: DataFrame, right: DataFrame, left_on: Sequence[str], step: JoinStep, names: Mapping[str, str],
-    unicode_text: bool,
+    unicode_text: bool, heavy: Sequence[int] | None = None,
 ) -> DataFrame:
-    """Left join on temporary canonical keys; the dimension columns get their output names. Runs nothing."""
+    """Left join on temporary canonical keys; the dimension columns get their output names. Runs nothing.
+
+    With ``heavy`` (hashes of keys that hold many rows, see :func:`heavy_keys`), rows with such a key meet a broadcast
+    of the dimension rows of those keys, and the join by key is given a hash of the whole row instead of their key, so
+    they are dealt over all tasks. So are rows without a whole key. The hash depends on the row alone: a repeated task
+    deals it alike. Rows equal in every column share a task. The dimension's key must be unique, so the broadcast has
+    one row per heavy key but for a collision of hashes.
+    """
     left_keys, right_keys = join_key_columns(
         frame, right, left_on, step.right_columns, step.key_kinds(), unicode_text
     )
@@ -149,7 +158,55 @@ def _attach(
     keyed = frame.select("*", *[key.alias(f"__left_key_{i}") for i, key in zip(spots, left_keys)])
     condition = [F.col(f"__left_key_{i}") == F.col(f"__right_key_{i}") for i in spots]
     drop = [f"__{side}_key_{i}" for side in ("left", "right") for i in spots]
-    return keyed.join(renamed, condition, "left").drop(*drop)
+    if heavy is None:
+        return keyed.join(renamed, condition, "left").drop(*drop)
+
+    def key_hash(side: str) -> Column:
+        return F.xxhash64(*[f"__{side}_key_{i}" for i in spots])
+
+    missing = reduce(Column.__or__, [F.col(f"__left_key_{i}").isNull() for i in spots])
+    few = renamed.where(key_hash("right").isin(list(heavy))).select(
+        F.struct(*map(quoted, names.values())).alias("__few"), *[f"__right_key_{i}" for i in spots]
+    )
+    met = keyed.join(F.broadcast(few), condition, "left").drop(*[f"__right_key_{i}" for i in spots])
+    dealt = key_hash("left").isin(list(heavy)) | missing
+    light = met.select(
+        *map(quoted, frame.columns), "__few",
+        F.when(dealt, F.xxhash64(*map(quoted, frame.columns))).otherwise(key_hash("left")).alias("__left_deal"),
+        *[F.when(~dealt, F.col(f"__left_key_{i}")).alias(f"__left_key_{i}") for i in spots],
+    )
+    joined = light.join(
+        renamed.withColumn("__right_deal", key_hash("right")),
+        [*condition, F.col("__left_deal") == F.col("__right_deal")], "left",
+    )
+    return joined.select(*map(quoted, frame.columns), *[
+        F.coalesce(F.col("__few")[name], quoted(name)).alias(name) for name in names.values()
+    ])
+
+
+def heavy_keys(
+    weighted: Mapping[str, DataFrame], tables: Mapping[str, DataFrame], steps: Mapping[str, JoinStep],
+    unicode_steps: Mapping[JoinStep, bool], fact_rows: int, share: float = HEAVY_SHARE,
+) -> dict[str, list[int]]:
+    """Per step, the hashes of keys that hold more than ``share`` of the fact rows: at most ``1 / share`` of them.
+
+    One job over the key counts of all steps; the rows of a key are counted before they meet, so a heavy key is one
+    row per task here.
+    """
+    parts = []
+    for step_id, step in steps.items():
+        left_keys, _ = join_key_columns(
+            weighted[step.left_table], tables[step.right_table], step.left_columns, step.right_columns,
+            step.key_kinds(), unicode_steps[step],
+        )
+        counts = key_counts(weighted[step.left_table], left_keys, "k", WEIGHT).where("k0 is not null")
+        parts.append(counts.where(F.col("kn") > share * fact_rows).select(
+            F.lit(step_id).alias("step_id"), F.xxhash64(*[f"k{i}" for i in range(len(left_keys))]).alias("hash"),
+        ))
+    found: dict[str, list[int]] = {step_id: [] for step_id in steps}
+    for row in reduce(DataFrame.unionByName, parts).collect() if parts else ():
+        found[row["step_id"]].append(row["hash"])
+    return found
 
 
 def _weighted_tables(
@@ -180,12 +237,15 @@ def run_join_plan(
     fact: str,
     steps: Sequence[JoinStep],
     roles: Mapping[str, TableRole] | None = None,
+    heavy_share: float | None = None,
 ) -> JoinResult:
     """Join every approved dimension onto the fact rows, or return no data at all.
 
     All steps are proven safe first, in one job over key counts; the first unsafe step stops the plan. The proof
     also yields the match counts, so the join itself stays lazy and nothing is counted twice. Dimension columns
     are named ``<table>.<column>``. Whether a dimension is broadcast is left to the size statistics at run time.
+    With ``heavy_share``, keys that hold more than that share of the fact rows are joined without a shuffle of their
+    rows by key. Without it, adaptive execution splits what is skewed.
     """
     spark = tables[fact].sparkSession if fact in tables else next(iter(tables.values())).sparkSession
     empty = spark.createDataFrame([], DIAGNOSTIC_SCHEMA)
@@ -255,10 +315,16 @@ def run_join_plan(
         if failed:
             return JoinResult(False, None, spark.createDataFrame(rows, DIAGNOSTIC_SCHEMA), message)
 
+    heavy: dict[str, list[int]] = {}
+    if heavy_share is not None and ordered:
+        total = found[step_ids[ordered[0]]]["before_row_count"]
+        heavy = heavy_keys(
+            weighted, tables, {step_ids[step]: step for step in ordered}, unicode_steps, total, heavy_share
+        )
     frame = tables[fact]
     for step in ordered:
         left_on = [names[(step.left_table, column)] for column in step.left_columns]
         right = tables[step.right_table]
-        found = {column: names[(step.right_table, column)] for column in right.columns}
-        frame = _attach(frame, right, left_on, step, found, unicode_steps[step])
+        renames = {column: names[(step.right_table, column)] for column in right.columns}
+        frame = _attach(frame, right, left_on, step, renames, unicode_steps[step], heavy.get(step_ids[step]))
     return JoinResult(True, frame, spark.createDataFrame(rows, DIAGNOSTIC_SCHEMA) if rows else empty, "", names)

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # The tables of every report, in reading order, and those a mapped report adds.
 REPORT_TABLES = (
@@ -16,6 +20,7 @@ REPORT_TABLES = (
 )
 MAPPED_TABLES = ("data_preparation_summary", "field_availability", "report_coverage", "excluded_rows_detail")
 OPTIONAL_TABLES = ("store_summary", "headline_facts")
+MANIFEST = "version,published_at,names,schemas"
 
 
 def visible(df: DataFrame) -> DataFrame:
@@ -41,3 +46,33 @@ def write_report(tables: Mapping[str, DataFrame], folder: str, file_format: str
         visible(df).write.mode("overwrite").format(file_format).save(f"{folder.rstrip('/')}/{name}")
         written.append(name)
     return written
+
+
+def publish_report(tables: Mapping[str, DataFrame], folder: str) -> str:
+    """Write a report that readers see as a whole or not at all; returns its version.
+
+    The tables go to a folder of their own, then one line that names them is appended to the manifest. A run that ends
+    before that line leaves the report before it as the one :func:`published_report` reads. Nothing is overwritten.
+    """
+    spark = next(iter(tables.values())).sparkSession
+    folder, version = folder.rstrip("/"), uuid.uuid4().hex
+    names = write_report(tables, f"{folder}/versions/{version}")
+    schemas = [visible(tables[name]).schema.json() for name in names]
+    line = spark.createDataFrame(
+        [(version, names, schemas)], "version string, names array<string>, schemas array<string>"
+    ).withColumn("published_at", F.current_timestamp())
+    # One file from one task: it is there as a whole or not at all.
+    line.select(*MANIFEST.split(",")).coalesce(1).write.mode("append").parquet(f"{folder}/manifest")
+    return version
+
+
+def published_report(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    """The tables of the report that was published last; of two at one time, the one with the larger version."""
+    folder = folder.rstrip("/")
+    lines = spark.read.parquet(f"{folder}/manifest")
+    last = lines.orderBy(F.desc("published_at"), F.desc("version")).first()
+    return {
+        name: spark.read.schema(T.StructType.fromJson(json.loads(schema))).parquet(
+            f"{folder}/versions/{last['version']}/{name}")
+        for name, schema in zip(last["names"], last["schemas"])
+    }

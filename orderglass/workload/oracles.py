@@ -277,7 +277,7 @@ SELECT 'post_conversion', NULL, NULL, NULL, check_name, issue_count, status
 FROM ({checks(POST_CHECKS, 'dirty')})"""
 
 
-def reconcile(name: str) -> str:
+def reconcile(name: str, source: str = "dirty") -> str:
     dated, known = "year_month IS NOT NULL", "category IS NOT NULL"
     pairs = [
         ("monthly_summary_revenue_equals_enriched_orders_final_revenue", "final_revenue", dated, dated),
@@ -294,7 +294,7 @@ def reconcile(name: str) -> str:
     def total(column: str, condition: str) -> str:
         return f"coalesce(sum(CAST({column} AS DECIMAL(18,4))) FILTER (WHERE {condition}), 0)"
     rows = " UNION ALL ".join(
-        f"SELECT '{check}' AS check_name, {total(column, all_rows)} AS e, {total(column, summed)} AS a FROM dirty"
+        f"SELECT '{check}' AS check_name, {total(column, all_rows)} AS e, {total(column, summed)} AS a FROM {source}"
         for check, column, all_rows, summed in pairs
     )
     return f"""
@@ -303,7 +303,7 @@ def reconcile(name: str) -> str:
          CASE WHEN abs(a - e) <= 0.01 THEN 'passed' ELSE 'failed' END AS status FROM ({rows})
   UNION ALL
   SELECT 'invalid_date_excluded_revenue', 0, {money('final_revenue')}, {money('final_revenue')}, 'info'
-  FROM dirty WHERE year_month IS NULL
+  FROM {source} WHERE year_month IS NULL
 )"""
 
 

@@ -22,8 +22,8 @@ from orderglass.operators import summary as su
 from orderglass.operators import anomalies as an
 from orderglass.operators.discovery import discover_relationships
 from orderglass.operators.duplicates import duplicate_groups
-from orderglass.plans.join_plan import JoinStep, TableRole, run_join_plan
-from orderglass.plans.report import adapt_to_availability, order_report
+from orderglass.plans.join_plan import HEAVY_SHARE, JoinStep, TableRole, run_join_plan
+from orderglass.plans.report import adapt_to_availability, enriched_report, order_report
 from orderglass.session import stage
 from orderglass.sources.damage import text_damage
 from orderglass.sources.tables import spread
@@ -229,6 +229,42 @@ def refused_join(spark, d):
     return _diagnostics(run_join_plan(tables, "orders", steps))
 
 
+def composite_key_join(spark, d):
+    """Order lines and the offers (part, supplier) they name: a number and a code in two spellings."""
+    lines = io.table(spark, d, "lineitem").withColumn("shop", F.format_string(" s-%05d", "l_suppkey"))
+    offers = lines.where("l_partkey % 4 <> 0").groupBy("l_partkey", "l_suppkey").agg(F.count(F.lit(1)).alias("offer_lines"))
+    offers = offers.select("l_partkey", F.format_string("S-%05d", "l_suppkey").alias("code"), "offer_lines")
+    step = JoinStep("lines", ("l_partkey", "shop"), "offers", ("l_partkey", "code"), ("numeric", "text"))
+    result = run_join_plan({"lines": lines, "offers": offers}, "lines", (step,))
+    return result.frame.select("l_orderkey", "l_linenumber", F.col("`offers.offer_lines`").alias("offer_lines"))
+
+
+def date_key_join(spark, d):
+    """Orders and a calendar that writes its days as text."""
+    orders = io.table(spark, d, "orders")
+    day = F.to_date("o_orderdate")
+    days = orders.where(F.dayofweek(day) != 1).groupBy(F.date_format(day, "yyyy/MM/dd").alias("day")).agg(
+        F.count(F.lit(1)).alias("day_orders"))
+    step = JoinStep("orders", ("o_orderdate",), "days", ("day",), ("date",))
+    result = run_join_plan({"orders": orders, "days": days}, "orders", (step,))
+    return result.frame.select("o_orderkey", F.col("`days.day_orders`").alias("day_orders"))
+
+
+def heavy_key_join(spark, d):
+    """A join chain whose first key holds over a third of the lines; a fifth of the rest has no key."""
+    line = io.table(spark, d, "lineitem")
+    last = line.agg(F.max("l_partkey")).scalar()
+    key = F.col("l_orderkey")
+    lines = line.withColumn("l_partkey", F.when(key % 5 < 2, last).when(key % 5 != 2, F.col("l_partkey")))
+    tables = {"lineitem": lines, **{name: io.table(spark, d, name) for name in ("part", "orders", "customer")}}
+    steps = (STEPS[1], STEPS[0], STEPS[3])
+    frame = run_join_plan(tables, "lineitem", steps, heavy_share=HEAVY_SHARE).frame
+    return frame.select(
+        "l_orderkey", "l_linenumber", "l_partkey", F.col("`part.p_name`").alias("p_name"),
+        F.col("`customer.c_name`").alias("c_name"),
+    )
+
+
 # ---- profile and discovery ------------------------------------------------------------------------------------
 
 def column_profile(spark, d):
@@ -365,9 +401,10 @@ def _report_tables(spark, d):
 
 
 def headline_facts(spark, d):
-    tables = _report_tables(spark, d)
-    finance = fi.finance_tables(tables["monthly_summary"], io.dirty_expense_rows(spark, d))
-    return fa.headline_facts({**tables, **finance}, ("executive", "business", "finance"))
+    rows = io.order_rows(spark, d, customer=True, store=True)
+    enriched = stage(io.add_revenue(rows), "enriched")
+    tables = enriched_report(enriched, qu.raw_quality(rows, path="orders"), io.dirty_expense_rows(spark, d), stores=True)
+    return fa.headline_facts(tables)
 
 
 def dashboard_kpis(spark, d):
@@ -405,6 +442,7 @@ QUERIES = {
         convert_money, convert_dates, convert_returned, entity_labels, safe_division, join_safety_lineitem_orders,
         join_safety_orders_lineitem, join_safety_composite, join_block_reasons, join_key_normalised, key_forms,
         leading_zero_warning, key_sample_overlap, safe_join_chain, join_step_diagnostics, refused_join,
+        composite_key_join, date_key_join, heavy_key_join,
         column_profile, table_roles, recommended_fact_table, relationship_candidates, candidate_overlaps,
         mapping_evidence, field_recommendations, unified_orders, conversion_diagnostics, preflight_counts,
         preflight_issues, excluded_rows, kept_rows, issue_preview, date_preview, field_availability,

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from orderglass.workload.inputs import BUSINESS_NAMES
 from orderglass.workload.oracles import (
-    DIRTY, DIRTY_EXPENSES, ENRICHED, ORDER_ROWS, SHOPS, breakdown, flow, money, monthly, ratio, reconcile, stores, summary,
+    DIRTY, DIRTY_EXPENSES, DROPS, ENRICHED, EXPENSE_CHECKS, ORDER_ROWS, POST_CHECKS, RETURNS, SHOPS, breakdown, checks,
+    flow, money, monthly, ratio, reconcile, stores, summary,
 )
 
 TWINS: dict[str, str] = {}
@@ -176,6 +177,20 @@ UNION ALL
 SELECT 'join_2', 'orders', 'lineitem', before_row_count, after_row_count, matched_row_count,
        before_row_count - matched_row_count, match_rate, row_count_change, 'blocked_preflight' FROM m"""
 
+TWINS["composite_key_join"] = """
+SELECT l_orderkey, l_linenumber,
+       CASE WHEN l_partkey % 4 <> 0 THEN count(*) OVER (PARTITION BY l_partkey, l_suppkey) END AS offer_lines
+FROM lineitem"""
+TWINS["date_key_join"] = """
+SELECT o_orderkey, CASE WHEN dayofweek(o_orderdate) <> 0
+                        THEN count(*) OVER (PARTITION BY CAST(o_orderdate AS DATE)) END AS day_orders
+FROM orders"""
+TWINS["heavy_key_join"] = """
+SELECT l_orderkey, l_linenumber, k AS l_partkey, p_name, c_name
+FROM (SELECT *, CASE WHEN l_orderkey % 5 < 2 THEN (SELECT max(l_partkey) FROM lineitem)
+                     WHEN l_orderkey % 5 <> 2 THEN l_partkey END AS k FROM lineitem)
+LEFT JOIN part ON k = p_partkey LEFT JOIN orders ON l_orderkey = o_orderkey LEFT JOIN customer ON o_custkey = c_custkey"""
+
 # What the names and types of the business columns imply: (semantic type, key, measure, entity).
 PROFILE_FACTS = {
     "lineitem": {
@@ -698,7 +713,25 @@ def fact(section: str, metric: str, value: str, source: str) -> str:
 COMPLETE = "NOT is_partial_period"
 TOTALS = f"""(SELECT {money('revenue')} AS revenue, {money('gross_revenue')} AS gross, {money('discount_amount')} AS discount,
   sum(orders) AS orders, {money('units')} AS units FROM m)"""
-TWINS["headline_facts"] = REPORT + "\n" + "\nUNION ALL ".join((
+RAW_ORDER_COLUMNS = (
+    'order_id, "date", customer_id, customer_name, product_id, product_name, category, unit_price, quantity, '
+    "discount_rate, returned, store_id, store_name"
+)
+HEADLINES = REPORT + "," + reconcile("r", "enriched") + f""",
+post AS ({checks(POST_CHECKS, "enriched")}), expense_post AS ({checks(EXPENSE_CHECKS, "dirty_expenses")}),
+copies AS (SELECT coalesce(sum(n - 1), 0) AS n FROM (SELECT count(*) AS n FROM order_rows GROUP BY {RAW_ORDER_COLUMNS})),
+tally AS (
+  SELECT (SELECT count(*) FROM r WHERE status = 'failed') AS failed,
+         (SELECT sum(issue_count) FROM post WHERE check_name NOT IN ('invalid_date_count', 'invalid_returned_count'))
+           AS critical,
+         (SELECT sum(issue_count) FROM post WHERE check_name IN ('invalid_date_count', 'invalid_returned_count'))
+           + (SELECT sum(issue_count) FROM expense_post) + (SELECT n FROM copies) AS warnings
+),
+notes AS (
+  SELECT anomaly_label, details, 0 AS place, period, anomaly_type, order_id FROM ({DROPS})
+  UNION ALL SELECT anomaly_label, details, 0, period, anomaly_type, order_id FROM ({RETURNS})
+)"""
+TWINS["headline_facts"] = HEADLINES + "\n" + "\nUNION ALL ".join((
     fact("executive", "dated_revenue", "revenue", TOTALS),
     fact("executive", "dated_orders", "orders", TOTALS),
     fact("executive", "dated_units", "units", TOTALS),
@@ -731,6 +764,27 @@ TWINS["headline_facts"] = REPORT + "\n" + "\nUNION ALL ".join((
     """SELECT * FROM (SELECT 'finance', 'first_cash_flow_warning', year_month, NULL::DOUBLE, w FROM (
       SELECT year_month, unnest(string_split(cash_flow_warning, '; ')) AS w FROM flow WHERE cash_flow_warning <> 'ok')
     ORDER BY year_month, w LIMIT 1)""",
+    """SELECT 'executive', 'growth_not_meaningful', year_month, revenue, NULL FROM (
+      SELECT *, lag(revenue) OVER (ORDER BY year_month) AS before FROM m)
+    WHERE NOT is_partial_period AND before = 0 AND revenue <> 0""",
+    """SELECT 'status', 'report_status',
+      CASE WHEN failed > 0 OR critical > 0 THEN 'failed' WHEN warnings > 0 THEN 'review_required' ELSE 'ready' END, NULL,
+      CASE WHEN failed > 0 THEN 'One or more validation checks failed.'
+           WHEN critical > 0 THEN 'Critical data quality issues affect revenue calculations.'
+           WHEN warnings > 0 THEN 'Warnings exist and should be reviewed.'
+           ELSE 'All validations passed and no data quality warnings were found.' END FROM tally""",
+    "SELECT 'quality', 'duplicates', 'duplicate_rows', n, NULL FROM copies",
+    """SELECT 'quality', 'duplicates', 'repeated_order_id_rows', count(*) - count(DISTINCT order_id), NULL
+    FROM order_rows""",
+    """SELECT 'quality', 'order_check', check_name, issue_count, NULL FROM post
+    WHERE issue_count > 0 OR check_name = 'invalid_date_count'""",
+    "SELECT 'quality', 'expense_check', check_name, issue_count, NULL FROM expense_post WHERE issue_count > 0",
+    "SELECT 'validation', 'check_count', NULL, count(*), NULL FROM r WHERE status <> 'info'",
+    "SELECT 'validation', 'failed_check_count', NULL, failed, NULL FROM tally",
+    "SELECT 'validation', 'failed_check', check_name, difference, NULL FROM r WHERE status = 'failed'",
+    "SELECT 'validation', 'info', check_name, actual_value, NULL FROM r WHERE status = 'info'",
+    """SELECT * FROM (SELECT 'anomaly', 'note', anomaly_label, NULL::DOUBLE, details FROM notes
+    ORDER BY period, anomaly_type LIMIT 10)""",
 ))
 TWINS["dashboard_kpis"] = REPORT + f"""
 SELECT {money('final_revenue')} AS total_revenue, count(DISTINCT order_id) AS total_orders,

@@ -195,3 +195,42 @@ def test_every_equal_key_column_is_a_candidate(spark):
     left, right = spark.range(40).select(*columns), spark.range(40).select(*columns)
     found = discover_relationships({"Orders": left, "Codes": right}).candidates.where("left_columns = right_columns")
     assert found.where("relationship_kind = 'single_column'").count() == 13
+
+
+def test_heavy_keys_are_dealt_over_all_tasks(spark):
+    rows = [(i, 7 if i % 3 == 0 else None if i % 3 == 1 else i % 50) for i in range(3000)]
+    lines = spark.createDataFrame(rows, "id int, shop int")
+    shops = spark.createDataFrame([(i, f"s{i}", i % 3) for i in range(40)], "shop int, name string, town int")
+    towns = spark.createDataFrame([(0, "a"), (1, None)], "town int, name string")
+    steps = (JoinStep("lines", ("shop",), "shops", ("shop",), ("numeric",)),
+             JoinStep("shops", ("town",), "towns", ("town",), ("numeric",)))
+    tables = {"lines": lines, "shops": shops, "towns": towns}
+    settings = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {key: spark.conf.get(key) for key in settings}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    try:
+        plain = run_join_plan(tables, "lines", steps).frame
+        dealt = run_join_plan(tables, "lines", steps, heavy_share=0.1).frame
+        assert dealt.columns == plain.columns
+        assert sorted(map(str, dealt.collect())) == sorted(map(str, plain.collect()))
+
+        def largest(frame):
+            return max(r["count"] for r in frame.groupBy(F.spark_partition_id()).count().collect())
+
+        one = {name: tables[name] for name in ("lines", "shops")}
+        assert largest(run_join_plan(one, "lines", steps[:1]).frame) >= 1000
+        assert largest(run_join_plan(one, "lines", steps[:1], heavy_share=0.1).frame) < 1000
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+
+
+def test_heavy_share_without_heavy_keys(spark):
+    lines = spark.createDataFrame([(1, 1), (2, 2), (3, None)], "id int, shop int")
+    shops = spark.createDataFrame([(1, "a"), (3, "c")], "shop int, name string")
+    step = JoinStep("lines", ("shop",), "shops", ("shop",), ("numeric",))
+    frame = run_join_plan({"lines": lines, "shops": shops}, "lines", (step,), heavy_share=0.9).frame
+    assert {(r["id"], r["shops.name"]) for r in frame.collect()} == {(1, "a"), (2, None), (3, None)}
+    empty = run_join_plan({"lines": lines.limit(0), "shops": shops}, "lines", (step,), heavy_share=0.9).frame
+    assert empty.count() == 0

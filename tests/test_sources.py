@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from orderglass.sources.sink import publish_report, published_report
 from orderglass.sources.tables import (
     read_expenses, read_table, read_tables, sniff_delimiter, spread, unique_table_id, with_row_numbers,
 )
@@ -65,3 +66,21 @@ def test_spread_only_touches_small_scans(spark):
     few, many = spark.range(0, 100, 1, 1), spark.range(0, 100, 1, 64)
     assert spread(few).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
     assert spread(many) is many
+
+
+def test_report_is_published_as_a_whole(spark, tmp_path):
+    folder = str(tmp_path / "report")
+
+    def tables(n):
+        return {"report_status": spark.range(n), "monthly_summary": spark.range(2 * n).withColumn("_h", F.lit(1))}
+
+    publish_report(tables(2), folder)
+    broken = {**tables(5), "anomalies": spark.range(3).select(F.raise_error(F.lit("lost")).alias("x"))}
+    with pytest.raises(Exception, match="lost"):
+        publish_report(broken, folder)
+    found = published_report(spark, folder)
+    assert {name: df.count() for name, df in found.items()} == {"report_status": 2, "monthly_summary": 4}
+    assert found["monthly_summary"].columns == ["id"]
+    publish_report(tables(3), folder)
+    assert published_report(spark, folder)["report_status"].count() == 3
+    assert found["report_status"].count() == 2
