@@ -39,7 +39,8 @@ def numbered_in_order(df: DataFrame, order: Sequence, name: str) -> DataFrame:
     """Add the 1-based global position under ``order``, without bringing all rows to one task.
 
     Rows are range-partitioned and sorted, then each partition is shifted by the rows before it. The window
-    runs over one row per partition. The sorted rows are staged, so both readers see the same positions.
+    runs over one row per partition, and those rows are broadcast. The sorted rows are staged, so both readers see
+    the same positions.
     """
     spot = F.monotonically_increasing_id()
     ordered = stage(df.orderBy(*order).withColumn("_spot", spot), "ordered")
@@ -50,7 +51,7 @@ def numbered_in_order(df: DataFrame, order: Sequence, name: str) -> DataFrame:
     )
     offsets = ordered.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).select("_part", before.alias("_before"))
     within = F.col("_spot").bitwiseAND(F.lit((1 << 33) - 1))
-    return ordered.join(offsets, "_part").withColumn(
+    return ordered.join(F.broadcast(offsets), "_part").withColumn(
         name, F.col("_before") + within + 1
     ).drop("_part", "_before", "_spot")
 

@@ -24,14 +24,15 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return found is not None and len(found) > 0
 
 
-def spread(df: DataFrame) -> DataFrame:
+def spread(df: DataFrame, scan: DataFrame | None = None) -> DataFrame:
     """Give every core a share of a scan that comes in fewer pieces than there are cores.
 
     A file with one row group is one task, however costly the expressions on top are. On a large table the scan
-    has far more pieces than cores and stays untouched.
+    has far more pieces than cores and stays untouched. ``scan`` is the table under a ``df`` that keeps its pieces:
+    to count the pieces of a frame with an aggregate in it would run that aggregate.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores) if (scan or df).rdd.getNumPartitions() < cores else df
 
 
 def sniff_delimiter(spark: SparkSession, path: str, encoding: str = "UTF-8") -> str:
@@ -86,7 +87,8 @@ def with_row_numbers(
 
     No global sort and no single task over the rows. Parquet rows already know their position in the file; CSV
     rows are staged once with the block they came from. Only the row counts per file or block are summed up in
-    order, and those are as few as there are blocks.
+    order, and those are as few as there are blocks. They are broadcast: a shuffle by file would bring all rows of
+    a file to one task.
     """
     kind = _table_format(spark, path, file_format)
     plain = read_table(spark, path, encoding, delimiter, multi_line, kind)
@@ -109,7 +111,7 @@ def with_row_numbers(
     )
     offsets = blocks.select("_file", "_block", "_first", before.alias("_before"))
     number = F.col("_before") + F.col("_spot") - F.col("_first") + FIRST_ROW_NUMBER
-    numbered = rows.join(offsets, ["_file", "_block"]).withColumn("source_row_number", number)
+    numbered = rows.join(F.broadcast(offsets), ["_file", "_block"]).withColumn("source_row_number", number)
     return numbered.select("source_row_number", *map(quoted, plain.columns))
 
 

@@ -1,3 +1,5 @@
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -47,6 +49,29 @@ def test_parquet_row_numbers_and_existing_numbers(spark, tmp_path):
     assert sorted(r[0] for r in with_row_numbers(spark, kept).collect()) == [0, 10, 20]
 
 
+def test_rows_of_one_file_stay_spread_while_they_are_numbered(spark, tmp_path):
+    path = str(tmp_path / "one.parquet")
+    pq.write_table(pa.table({"n": list(range(4000))}), path, row_group_size=500)
+    # No table counts as small, as with a large one; a shuffle by file would make one piece of all rows.
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.files.maxPartitionBytes": "3000"}
+    for name, value in settings.items():
+        spark.conf.set(name, value)
+    try:
+        rows = with_row_numbers(spark, path).select("*", F.spark_partition_id().alias("p")).collect()
+    finally:
+        for name in settings:
+            spark.conf.unset(name)
+    assert sorted((r["source_row_number"], r["n"]) for r in rows) == [(i + 2, i) for i in range(4000)]
+    assert len({r["p"] for r in rows}) > 1
+
+
+def test_spread_counts_the_pieces_of_the_scan(spark):
+    few, many = spark.range(0, 100, 1, 1), spark.range(0, 100, 1, 64)
+    numbered = few.join(F.broadcast(few.groupBy("id").count()), "id")
+    assert spread(numbered, many) is numbered
+    assert spread(numbered, few).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+
+
 def test_many_tables_get_unique_ids(spark, tmp_path):
     (tmp_path / "x").mkdir()
     a, b = write(tmp_path / "t.csv", "a\n1\n"), write(tmp_path / "x" / "t.csv", "a\n1\n")
