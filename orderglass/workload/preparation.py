@@ -401,7 +401,7 @@ def _report_tables(spark, d):
 
 
 def headline_facts(spark, d):
-    rows = io.order_rows(spark, d, customer=True, store=True)
+    rows = stage(io.order_rows(spark, d, customer=True, store=True), "rows")
     enriched = stage(io.add_revenue(rows), "enriched")
     tables = enriched_report(enriched, qu.raw_quality(rows, path="orders"), io.dirty_expense_rows(spark, d), stores=True)
     return fa.headline_facts(tables)
@@ -416,10 +416,10 @@ def store_extremes(spark, d):
 
 
 def action_required(spark, d):
-    enriched = stage(io.dirty_enriched_rows(spark, d), "enriched")
+    rows = io.staged_dirty_rows(spark, d)
+    enriched = stage(io.add_revenue(rows, numeric_names=io.TEXT_NAMES), "enriched")
     monthly = su.monthly_summary(enriched)
     post = qu.post_quality(enriched)
-    rows = io.dirty_order_rows(spark, d)
     validation = qu.reconciliation(enriched, monthly, su.category_summary(enriched, False), su.customer_summary(enriched, False))
     status = qu.report_status(qu.raw_quality(rows), post, validation)
     columns = [name for name in enriched.columns if name != "source_row_number"]
@@ -430,9 +430,11 @@ def action_required(spark, d):
 
 def adapted_validation(spark, d):
     """The checks of a mapped report whose customer data is only partly there."""
-    unified = pf.kept_rows(_unified(spark, d)).drop("unified_row_number")
-    availability = spark.createDataFrame(_availability(spark, d).collect(), mp.AVAILABILITY_SCHEMA)
-    tables = adapt_to_availability(order_report(unified, None, numeric_names=io.TEXT_NAMES), availability)
+    # Written once, as the mapped report does it: the checks read the rows many times.
+    unified = stage(_unified(spark, d), "unified")
+    availability = spark.createDataFrame(mp.field_availability(unified, CHOICES).collect(), mp.AVAILABILITY_SCHEMA)
+    rows = pf.kept_rows(unified).drop("unified_row_number")
+    tables = adapt_to_availability(order_report(rows, None, numeric_names=io.TEXT_NAMES), availability)
     return plain(tables["validation_report"])
 
 

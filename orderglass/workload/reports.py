@@ -100,7 +100,7 @@ def store_status(spark, d):
 
 
 def raw_quality(spark, d):
-    return qu.raw_quality(io.dirty_order_rows(spark, d), path="orders")
+    return qu.raw_quality(io.staged_dirty_rows(spark, d), path="orders")
 
 
 def post_quality(spark, d):
@@ -108,7 +108,7 @@ def post_quality(spark, d):
 
 
 def quality_checks(spark, d):
-    rows = io.dirty_order_rows(spark, d)
+    rows = io.staged_dirty_rows(spark, d)
     return qu.quality_checks(
         qu.raw_quality(rows, path="orders"), qu.post_quality(add_revenue(rows, numeric_names=io.TEXT_NAMES))
     )
@@ -136,8 +136,8 @@ def store_reconciliation(spark, d):
 
 
 def report_status(spark, d):
-    rows = io.dirty_order_rows(spark, d)
-    enriched = _staged_dirty(spark, d)
+    rows = io.staged_dirty_rows(spark, d)
+    enriched = stage(add_revenue(rows, numeric_names=io.TEXT_NAMES), "enriched")
     return qu.report_status(
         qu.raw_quality(rows), qu.post_quality(enriched), _reconciled(enriched),
         fi.expense_quality(io.dirty_prepared_expenses(spark, d)),

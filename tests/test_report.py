@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as contract
 import fixtures as fx
 from orderglass.operators import mapping as mp
 from orderglass.operators.anomalies import detect_anomalies
@@ -10,6 +11,7 @@ from orderglass.operators.revenue import ColumnMappingError, add_revenue, missin
 from orderglass.operators import summary as su
 from orderglass.operators.summary import monthly_summary, store_summary
 from orderglass.plans.report import ReportError, mapped_report, order_report, run_report
+from orderglass.workload import preparation, reports
 
 
 def as_dict(df, key, value):
@@ -248,3 +250,24 @@ def test_csv_round_trip(spark, tmp_path):
     facts = {(r["section"], r["metric"]): r for r in spark.read.parquet(str(tmp_path / "out/headline_facts")).collect()}
     assert facts[("executive", "dated_revenue")]["value_double"] == 702.0
     assert facts[("status", "report_status")]["label"] == "failed"
+
+
+@pytest.mark.parametrize("module, name, query", [
+    (preparation, "order_report", "adapted_validation"), (reports.qu, "raw_quality", "report_status"),
+    (reports.qu, "raw_quality", "quality_checks"), (preparation.qu, "raw_quality", "action_required"),
+])
+def test_rows_that_are_read_many_times_are_joined_once(spark, tmp_path, monkeypatch, module, name, query):
+    """Small tables of its own; the rows handed on are read from a written copy, not joined again by each reader."""
+    rows = {
+        "lineitem": "select 1L l_orderkey, 1L l_partkey, 1L l_suppkey, 1 l_linenumber, 2D l_quantity, 0.1D l_discount, 'N' l_returnflag",
+        "orders": "select 1L o_orderkey, 1L o_custkey, timestamp_ntz'2024-01-02' o_orderdate",
+        "part": "select 1L p_partkey, 'p' p_name, 'b' p_brand, 3D p_retailprice",
+        "customer": "select 1L c_custkey, 'c' c_name", "supplier": "select 1L s_suppkey, 's' s_name",
+        "events": "select 1L event_id, timestamp_ntz'2024-01-02' ts, 'e' event_type, 1D value",
+    }
+    for table, sql in rows.items():
+        spark.sql(sql).write.parquet(f"{tmp_path}/{table}.parquet")
+    real, given = getattr(module, name), []
+    monkeypatch.setattr(module, name, lambda orders, *args, **more: (given.append(orders), real(orders, *args, **more))[1])
+    contract.queries()[query](spark, str(tmp_path)).collect()
+    assert given and not any("Join" in orders._jdf.queryExecution().optimizedPlan().toString() for orders in given)
