@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -39,11 +41,20 @@ def _rewritten(text: Column, rules) -> Column:
     return text
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once; inside a branch every mention of it would compute it again."""
+    return F.transform(F.array(value), use).getItem(0)
+
+
 def _named_month(text: Column) -> Column:
     """``Jan 3, 2024``, ``3 January 2024`` or ``3-Jan-24`` as year-month-day."""
     parts = F.when(
         F.substring(text, 1, 1) > "9", F.regexp_replace(text, _NAME_FIRST, "$3-$1-$2")
     ).otherwise(F.regexp_replace(text, _DAY_FIRST, "$3-$2-$1"))
+    return _once(parts, _numbered_month)
+
+
+def _numbered_month(parts: Column) -> Column:
     year, name, day = (F.split_part(parts, F.lit("-"), F.lit(i)) for i in (1, 2, 3))
     century = F.when(F.length(year) == 4, "").when(year < "70", "20").otherwise("19")
     month = ((F.instr(F.lit(_MONTHS), F.lower(name)) + 2) / 3).cast("int").cast("string")
@@ -87,11 +98,13 @@ def parse_date(
     if swap_impossible:
         sure = (_MONTH_SURE, month_first_form) if day_first else (_DAY_SURE, day_first_form)
         year_last.insert(0, sure)
-    day = F.regexp_replace(text, _CLOCK, "")
+    timed = F.contains(text, F.lit(":"))  # without a colon there is no clock to look for
+    day = F.when(timed, F.regexp_replace(text, _CLOCK, "")).otherwise(text)
     written = F.when(text.rlike("^[^:]*[A-Za-z]{3}"), _named_month(day)).otherwise(
         _rewritten(day, (*_YEAR_FIRST, *_SHORT_YEARS, *year_last))
     )
-    general = F.when(text.rlike(r"\d{4}|\d[-/.]\d|[A-Za-z]-\d\d"), F.concat(written, _clock(text)))
+    clock = F.when(timed, _clock(text)).otherwise("")
+    general = F.when(text.rlike(r"\d{4}|\d[-/.]\d|[A-Za-z]-\d\d"), F.concat(written, clock))
 
     # The common ten-character forms and plain ISO times skip every pattern.
     def mark(position: int) -> Column:

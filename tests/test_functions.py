@@ -51,6 +51,12 @@ def test_parse_date_options_and_clock(spark):
     ]
 
 
+def test_parse_date_names_each_step_once(spark):
+    """A step that is mentioned several times runs several times, and the code outgrows what the JVM compiles."""
+    plan = spark.range(1).select(parse_date(F.col("id").cast("string")).alias("date"))._jdf.queryExecution().analyzed()
+    assert plan.toString().count("regexp_replace(") <= 20
+
+
 def test_returned_texts_differ_between_routes(spark):
     texts = ["yes", "Returned", "0", " ", None, "unknown", "退货", "未退货"]
     assert values(spark, texts, order_file_flag) == [True, True, False, False, None, None, None, None]
