@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from orderglass.functions.text import trimmed
+from orderglass.functions.text import once, trimmed
 
 _CLOCK = r"[T ]+(\d{1,2})(:\d{2}(?::\d{2}(?:\.\d{1,9})?)?) ?([AaPp][Mm])?(?:Z|[+-]\d{2}:?\d{2})?$"
 _NAME_FIRST = r"^([A-Za-z]{3})[A-Za-z]*\.?[ -](\d{1,2})(?:st|nd|rd|th)?,?[ -]+(\d{4})$"
@@ -41,17 +39,12 @@ def _rewritten(text: Column, rules) -> Column:
     return text
 
 
-def _once(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use(value)`` with ``value`` computed once; inside a branch every mention of it would compute it again."""
-    return F.transform(F.array(value), use).getItem(0)
-
-
 def _named_month(text: Column) -> Column:
     """``Jan 3, 2024``, ``3 January 2024`` or ``3-Jan-24`` as year-month-day."""
     parts = F.when(
         F.substring(text, 1, 1) > "9", F.regexp_replace(text, _NAME_FIRST, "$3-$1-$2")
     ).otherwise(F.regexp_replace(text, _DAY_FIRST, "$3-$2-$1"))
-    return _once(parts, _numbered_month)
+    return once(parts, _numbered_month)
 
 
 def _numbered_month(parts: Column) -> Column:

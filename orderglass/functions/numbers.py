@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from orderglass.functions.text import as_text, trimmed
+from orderglass.functions.text import as_text, once, trimmed
 
 NUMBER_PATTERN = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 MONEY = T.DecimalType(38, 6)
@@ -41,7 +41,7 @@ def lenient_number(column: Column, data_type: T.DataType | None = None, percenta
     signed = F.regexp_replace(text, r"^\([^0-9+\-.]*[+-]?(.*)\)$", "-$1")
     digits = F.regexp_replace(signed, r"[^0-9+\-.]", "")
     # Only digits, signs and dots are left here, so the cast accepts nothing but plain numbers.
-    value = finite(F.when(text.rlike(NUMBER_PATTERN), text).otherwise(digits).try_cast("double"))
+    value = once(F.when(text.rlike(NUMBER_PATTERN), text).otherwise(digits).try_cast("double"), finite)
     if percentage:
         value = value / F.when(F.contains(text, F.lit("%")), 100.0).otherwise(1.0)
     return value

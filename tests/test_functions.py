@@ -57,6 +57,13 @@ def test_parse_date_names_each_step_once(spark):
     assert plan.toString().count("regexp_replace(") <= 20
 
 
+def test_lenient_number_reads_its_text_once(spark):
+    """A filter computes an expression as often as it is mentioned."""
+    plan = spark.range(1).select(lenient_number(F.col("id").cast("string")).alias("n"))._jdf.queryExecution().analyzed()
+    assert plan.toString().count("regexp_replace(") == 2
+    assert values(spark, ["1e999", "(1,250.5)", "EUR 3"], lenient_number) == [None, -1250.5, 3.0]
+
+
 def test_returned_texts_differ_between_routes(spark):
     texts = ["yes", "Returned", "0", " ", None, "unknown", "退货", "未退货"]
     assert values(spark, texts, order_file_flag) == [True, True, False, False, None, None, None, None]
