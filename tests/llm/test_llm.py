@@ -60,6 +60,26 @@ def test_interval_expansion(seed):
     assert [m.tolist() for m in substring_dedup.repeated_windows(pieces, length)] == brute_windows(pieces, length)
 
 
+def test_only_windows_of_repeated_symbols_are_sorted(monkeypatch):
+    rng = random.Random(3)
+    pieces = [rng.randbytes(900) for _ in range(40)]
+    pieces.append(pieces[0][100:600] + rng.randbytes(300))
+    sorted_places, shared = [], substring_dedup._shared
+    monkeypatch.setattr(substring_dedup, "_shared", lambda code, *rest: sorted_places.append(len(code)) or shared(code, *rest))
+    assert [m.tolist() for m in substring_dedup.repeated_windows(pieces, 400)] == brute_windows(pieces, 400)
+    # 101 windows stand twice: the places of their symbols, of 36,840 places in all.
+    assert sorted_places == [2 * (101 + 360)]
+
+
+@pytest.mark.parametrize("length", [3, 8, 12, 40])
+def test_symbols_with_equal_hashes(length, monkeypatch):
+    rng = random.Random(length)
+    pieces = [bytes(rng.choices(b"ab", k=length + rng.randint(0, 90))) for _ in range(6)]
+    pieces += [pieces[0][: length + 2], b"\0" * (length + 5)]
+    monkeypatch.setattr(substring_dedup, "_gram_hashes", lambda data, gram: np.arange(len(data) - gram + 1, dtype=np.uint64) % 5)
+    assert [m.tolist() for m in substring_dedup.repeated_windows(pieces, length)] == brute_windows(pieces, length)
+
+
 def test_substrings_on_given(spark, given):
     rows = {r["doc_id"]: tuple(r)[1:5] for r in substring_dedup.op1_substring_dedup(spark, FOLDER).collect()}
     ids = sorted(given)
