@@ -34,7 +34,9 @@ def numeric_only(df: DataFrame, name: str) -> Column:
     return verdict.scalar()
 
 
-def store_key_text(column: Column) -> Column:
+def store_key_text(column: Column, data_type: T.DataType | None = None) -> Column:
     """Store ids: ``3.0`` and ``3`` are one store."""
+    if isinstance(data_type, T.IntegralType):
+        return column.cast("string")
     text = clean_text(column)
     return F.when(text.rlike(r"^[+-]?\d+\.0+$"), F.split_part(text, F.lit("."), F.lit(1))).otherwise(text)

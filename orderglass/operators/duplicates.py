@@ -9,7 +9,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from orderglass.functions.text import quoted
-from orderglass.session import stage
+from orderglass.session import key_slices, slice_count, stage, stage_parts
+
+# Hashes of repeated rows up to this number are broadcast (16 bytes each and their place in the hash table).
+BROADCAST_HASHES = 500_000
 
 REPEATED_NOTE = (
     "Repeated order_id values may be normal for order-line-level data, but fully identical rows should be "
@@ -23,16 +26,26 @@ def duplicate_groups(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     The first pass shuffles one 64-bit hash per row instead of whole rows and keeps the hashes that repeat.
     Only rows with such a hash reach the exact grouping over all columns, which also settles collisions.
     Both groupings combine on the map side, so a row repeated a billion times is one row per task.
+
+    The repeated hashes are written first. Few of them are broadcast, so that no other row is shuffled; for many, the
+    rows meet them slice by slice.
     """
     values = [quoted(name) for name in columns]
     hashed = df.select(*values, F.xxhash64(*values).alias("_hash"))
-    repeated = hashed.groupBy("_hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("_hash")
-    return (
-        hashed.join(repeated, "_hash", "left_semi")
-        .groupBy(*values)
-        .agg(F.count(F.lit(1)).alias("copies"))
-        .where("copies > 1")
-    )
+    counts = hashed.groupBy("_hash").agg(F.count(F.lit(1)).alias("n"))
+    repeated = stage_parts([counts.where("n > 1").select("_hash")], "repeated-hashes")
+
+    def groups(rows: DataFrame, hashes: DataFrame) -> DataFrame:
+        met = rows.join(hashes, "_hash", "left_semi")
+        return met.groupBy(*values).agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")
+
+    slices = slice_count(df)
+    if repeated.count() <= BROADCAST_HASHES:
+        return groups(hashed, F.broadcast(repeated))
+    if slices == 1:
+        return groups(hashed, repeated)
+    parts = zip(key_slices(hashed, ["_hash"], slices), key_slices(repeated, ["_hash"], slices))
+    return stage_parts((groups(*part) for part in parts), "duplicate-groups")
 
 
 def numbered_in_order(df: DataFrame, order: Sequence, name: str) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from orderglass.functions.labels import store_key_text
 from orderglass.functions.numbers import MONEY, exact_sum, safe_divide
 from orderglass.functions.text import clean_text, quoted
-from orderglass.session import stage
+from orderglass.session import key_slices, slice_count, stage_parts
 
 UNASSIGNED_STORE = "Unassigned Store"
 DISTINCT_ORDERS = "count(DISTINCT order_id) FILTER (WHERE order_id IS NOT NULL)"
@@ -175,7 +175,9 @@ def complete_months(monthly: DataFrame) -> DataFrame:
 
 
 def _store_groups(orders: DataFrame) -> DataFrame:
-    key = store_key_text(F.col("store_id")) if "store_id" in orders.columns else F.lit(None).cast("string")
+    key = F.lit(None).cast("string")
+    if "store_id" in orders.columns:
+        key = store_key_text(F.col("store_id"), orders.schema["store_id"].dataType)
     name = clean_text(F.col("store_name")) if "store_name" in orders.columns else F.lit(None).cast("string")
     return orders.withColumns({"_store_id": key, "_store_name": name}).withColumn(
         "_group",
@@ -251,6 +253,9 @@ def order_summaries(orders: DataFrame, stores: bool = False) -> dict[str, DataFr
     row per key before anything is shuffled, so only bare (key, order) pairs travel. A store's names are a grouping
     set of their own with the first row of each, so that all buffers have a fixed width. Both results are written, a
     folder per summary, and each table reads its own rows. The results are those of the single functions.
+
+    Where most keys are rare their sums do not shrink in a task, so over a large table both jobs run slice by slice of
+    the keys.
     """
     names = [name for name in SUMMARY_KEYS if stores or not name.startswith("store")]
     measures = [*_measures(), *_coverage_measures()]
@@ -263,8 +268,12 @@ def order_summaries(orders: DataFrame, stores: bool = False) -> dict[str, DataFr
     by_order = {name: (*SUMMARY_KEYS[name], "order_id") for name in counted}
     pairs = _grouped(orders.where("order_id is not null").select(*map(quoted, keys), "order_id"), by_order, [])
     found_orders = pairs.groupBy("_summary", *map(quoted, keys)).agg(F.count(F.lit(1)).alias("orders"))
-    sums = stage(_grouped(orders, {name: SUMMARY_KEYS[name] for name in names}, measures), "summaries", ("_summary",))
-    counts = stage(found_orders, "summary-orders", ("_summary",))
+    found_sums = _grouped(orders, {name: SUMMARY_KEYS[name] for name in names}, measures)
+    slices = slice_count(orders)
+    sums = stage_parts(key_slices(found_sums, [*map(quoted, keys)], slices), "summaries", ("_summary",))
+    # A bare pair is about a quarter of a row of sums.
+    pair_slices = key_slices(found_orders, [*map(quoted, keys)], (slices + 1) // 2)
+    counts = stage_parts(pair_slices, "summary-orders", ("_summary",))
 
     def part(name: str) -> DataFrame:
         own = SUMMARY_KEYS[name]

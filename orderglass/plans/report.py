@@ -20,9 +20,9 @@ from orderglass.operators.preflight import BLOCK, Preflight, preparation_audit,
 from orderglass.operators.quality import (
     VALIDATION_SCHEMA, post_quality, raw_quality, reconciliation, report_status, store_reconciliation,
 )
-from orderglass.operators.revenue import add_revenue, missing_columns
+from orderglass.operators.revenue import add_revenue, missing_columns, numeric_name_columns
 from orderglass.operators.summary import order_summaries, store_status, store_summary
-from orderglass.session import stage
+from orderglass.session import stage, stage_parts
 from orderglass.sources.sink import visible, write_report
 from orderglass.sources.tables import read_expenses, read_orders
 
@@ -40,13 +40,14 @@ class ReportError(RuntimeError):
 
 def order_report(
     orders: DataFrame, expenses: DataFrame | None = None, orders_path: str = "", expenses_path: str = "",
-    numeric_names: Mapping[str, bool] | None = None,
+    numeric_names: Mapping[str, bool] | None = None, written: bool = False,
 ) -> Tables:
     """All tables of the plain report. ``orders`` needs a ``source_row_number`` for the duplicate tables.
 
     The enriched rows are written once and every table reads that copy, so the source is parsed a single time
-    and each summary scans just its own columns. With required columns missing, all tables exist but are empty
-    and the status says why.
+    and each summary scans just its own columns. ``written`` says that ``orders`` are typed rows over a written copy
+    already; a second copy is not made then. With required columns missing, all tables exist but are empty and the
+    status says why.
     """
     spark = orders.sparkSession
     quality = raw_quality(orders, orders_path)
@@ -71,6 +72,9 @@ def order_report(
             "anomalies": spark.createDataFrame([], ANOMALY_SCHEMA),
             **finance,
         }
+    if written:
+        known = numeric_name_columns(orders) if numeric_names is None else numeric_names
+        return enriched_report(add_revenue(orders, known), quality, expenses, expenses_path)
     return enriched_report(stage(add_revenue(orders, numeric_names), "enriched"), quality, expenses, expenses_path)
 
 
@@ -191,7 +195,7 @@ def adapt_to_availability(tables: Tables, availability: DataFrame) -> Tables:
     adapted = False
 
     if status.get("store_analysis", "provided") in ("provided", "partially_provided"):
-        tables["store_summary"] = store_summary(enriched)
+        tables["store_summary"] = stage_parts([store_summary(enriched)], "stores").orderBy(F.desc("revenue"), "_group")
         tables["validation_report"] = tables["validation_report"].unionByName(
             store_reconciliation(enriched, tables["store_summary"])
         )

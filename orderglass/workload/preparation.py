@@ -323,8 +323,8 @@ def field_recommendations(spark, d):
 
 # ---- mapping, preflight and reports --------------------------------------------------------------------------
 
-def _unified(spark, d):
-    rows = mp.unified_orders(io.messy_source_rows(spark, d), CHOICES, carry=["source_row_number"])
+def _unified(spark, d, part=io.WHOLE):
+    rows = mp.unified_orders(io.messy_source_rows(spark, d, part), CHOICES, carry=["source_row_number"])
     return rows.withColumn("unified_row_number", F.col("source_row_number") - 1)
 
 
@@ -431,10 +431,11 @@ def action_required(spark, d):
 def adapted_validation(spark, d):
     """The checks of a mapped report whose customer data is only partly there."""
     # Written once, as the mapped report does it: the checks read the rows many times.
-    unified = stage(_unified(spark, d), "unified")
+    unified = io.staged_parts(spark, d, lambda part: _unified(spark, d, part), "unified")
     availability = spark.createDataFrame(mp.field_availability(unified, CHOICES).collect(), mp.AVAILABILITY_SCHEMA)
     rows = pf.kept_rows(unified).drop("unified_row_number")
-    tables = adapt_to_availability(order_report(rows, None, numeric_names=io.TEXT_NAMES), availability)
+    report = order_report(rows, None, numeric_names=io.TEXT_NAMES, written=True)
+    tables = adapt_to_availability(report, availability)
     return plain(tables["validation_report"])
 
 
