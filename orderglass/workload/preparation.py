@@ -22,6 +22,7 @@ from orderglass.operators import summary as su
 from orderglass.operators import anomalies as an
 from orderglass.operators.discovery import discover_relationships
 from orderglass.operators.duplicates import duplicate_groups
+from orderglass.operators.revenue import rows_and_revenue
 from orderglass.plans.join_plan import HEAVY_SHARE, JoinStep, TableRole, run_join_plan
 from orderglass.plans.report import adapt_to_availability, enriched_report, order_report
 from orderglass.session import stage
@@ -401,8 +402,7 @@ def _report_tables(spark, d):
 
 
 def headline_facts(spark, d):
-    rows = stage(io.order_rows(spark, d, customer=True, store=True), "rows")
-    enriched = stage(io.add_revenue(rows), "enriched")
+    rows, enriched = rows_and_revenue(io.staged_orders(spark, d))
     tables = enriched_report(enriched, qu.raw_quality(rows, path="orders"), io.dirty_expense_rows(spark, d), stores=True)
     return fa.headline_facts(tables)
 
