@@ -395,8 +395,7 @@ def text_damage_score(spark, d):
 
 def _report_tables(spark, d):
     """Order rows written once, their summaries and findings."""
-    rows = io.order_rows(spark, d, customer=True, store=True)
-    enriched = stage(io.add_revenue(rows, numeric_names=io.TEXT_NAMES), "enriched")
+    _, enriched = rows_and_revenue(io.staged_orders(spark, d), io.TEXT_NAMES)
     tables = {"enriched_orders": enriched, **su.order_summaries(enriched, stores=True)}
     return {**tables, "anomalies": an.detect_anomalies(enriched, tables["monthly_summary"])}
 
