@@ -25,7 +25,7 @@ from orderglass.operators.duplicates import duplicate_groups
 from orderglass.operators.revenue import rows_and_revenue
 from orderglass.plans.join_plan import HEAVY_SHARE, JoinStep, TableRole, run_join_plan
 from orderglass.plans.report import adapt_to_availability, enriched_report, order_report
-from orderglass.session import stage
+from orderglass.session import key_slices, slice_count, stage_parts
 from orderglass.sources.damage import text_damage
 from orderglass.sources.tables import spread
 from orderglass.workload import inputs as io
@@ -415,11 +415,14 @@ def store_extremes(spark, d):
 
 
 def action_required(spark, d):
-    rows = io.staged_dirty_rows(spark, d)
-    enriched = stage(io.add_revenue(rows, numeric_names=io.TEXT_NAMES), "enriched")
-    monthly = su.monthly_summary(enriched)
+    rows, enriched = rows_and_revenue(io.staged_dirty_orders(spark, d), io.TEXT_NAMES)
+    # Each summary is written by a job of its own, so that their shuffles do not stand on disk together.
+    monthly = stage_parts([su.monthly_summary(enriched)], "monthly")
+    category = stage_parts([su.category_summary(enriched, False)], "category")
+    customers = key_slices(enriched, su.CUSTOMER_KEYS, 1 + slice_count(enriched) // 4)
+    customer = stage_parts((su.customer_summary(part, False) for part in customers), "customer")
     post = qu.post_quality(enriched)
-    validation = qu.reconciliation(enriched, monthly, su.category_summary(enriched, False), su.customer_summary(enriched, False))
+    validation = qu.reconciliation(enriched, monthly, category, customer)
     status = qu.report_status(qu.raw_quality(rows), post, validation)
     columns = [name for name in enriched.columns if name != "source_row_number"]
     groups = duplicate_groups(enriched, columns).agg(F.count(F.lit(1)).alias("n")).scalar()

@@ -7,7 +7,7 @@ import __spark_entry__ as contract
 from orderglass import session
 from orderglass.operators import duplicates as du
 
-REPORTS = ("adapted_validation", "headline_facts", "dashboard_kpis")
+REPORTS = ("adapted_validation", "headline_facts", "dashboard_kpis", "action_required")
 #: Null keys, an order twice, a customer twice, lines without a part, whole lines twice.
 TABLES = {
     "lineitem": """select nullif(id % 11, 10) l_orderkey, nullif(id % 5, 4) l_partkey, id % 3 l_suppkey, int(id) l_linenumber,
